@@ -6,16 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prosegauge.llm import simhash
-from prosegauge.llm.common import read
+from pyspark.sql import functions as F
+
+from prosegauge.llm import langid, packing, simhash
+from prosegauge.llm.common import fold, read
 
 ORACLE_SQL: dict[str, str] = {}
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    profiles = langid.train(docs.where(fold("doc_id", 5) != 0))
+    found = langid.identify(docs.select("doc_id", "text", (fold("doc_id", 5) == 0).alias("held_out")), profiles)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
