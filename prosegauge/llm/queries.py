@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from prosegauge.llm import ann, langid, ordermin, packing, simhash
+from prosegauge.llm import ann, extract, langid, ordermin, packing, simhash
 from prosegauge.llm.common import fold, read
 
 ORACLE_SQL: dict[str, str] = {}
@@ -25,6 +25,10 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -40,6 +44,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_order_minhash": op2_order_minhash,
+    "op3_html_extraction": op3_html_extraction,
     "op4_permutation_index": op4_permutation_index,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
