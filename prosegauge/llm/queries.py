@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from prosegauge.llm import ann, extract, langid, ordermin, packing, simhash
+from prosegauge.llm import ann, extract, langid, ordermin, packing, quality, simhash
 from prosegauge.llm.common import fold, read
 
 ORACLE_SQL: dict[str, str] = {}
@@ -37,6 +37,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
+    model = quality.train(docs.where(fold("doc_id", 4) != 2), labels)
+    scored = quality.score(docs.withColumn("held_out", fold("doc_id", 4) == 2), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -47,5 +55,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_permutation_index": op4_permutation_index,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_quality_classifier": op7_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
