@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from prosegauge.llm import ann, extract, langid, ordermin, packing, quality, simhash
+from prosegauge.llm import ann, extract, hmm, langid, ordermin, packing, quality, simhash
 from prosegauge.llm.common import fold, read
 
 ORACLE_SQL: dict[str, str] = {}
@@ -37,6 +37,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op6_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return hmm.language_model(docs.withColumn("held", fold("doc_id", 7) == 2))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_permutation_index": op4_permutation_index,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_hidden_markov_lm": op6_hidden_markov_lm,
     "op7_quality_classifier": op7_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
