@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from prosegauge.llm import ann, extract, hmm, langid, ordermin, packing, quality, simhash
-from prosegauge.llm.common import fold, read
+from prosegauge.llm import ann, extract, hmm, langid, mixing, ordermin, packing, quality, rollups, simhash
+from prosegauge.llm.common import fold, read, shared_folder
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -50,6 +51,16 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(read(spark, sf_dir, "documents").select("doc_id", "source"))
+    return found.select("doc_id", "source", "mix_phase", "mix_block", "mix_slot", "mix_place")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("text", "lang", "source")
+    return rollups.maintain(docs, f"{shared_folder(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -62,5 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_hidden_markov_lm": op6_hidden_markov_lm,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_mixing_sources": op8_mixing_sources,
+    "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
