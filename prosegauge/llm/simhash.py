@@ -141,7 +141,7 @@ def groups(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFra
     roots = components(known)
     rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialize(rooted.select("doc_id", "fp", "root"), "simhash-rooted")
-    names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    names = materialize(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "simhash-names")
     return rooted.join(names, "root").select("doc_id", "fp", "component_id")
 
 
