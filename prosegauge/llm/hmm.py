@@ -327,7 +327,8 @@ def train(ready: DataFrame, counts: Counts, rounds: int = ROUNDS, warm: int = WA
     if not counts.tokens:
         return model
     small_batches(ready.sparkSession, 4)
-    for r in ready.orderBy(F.xxhash64("block")).limit(1).collect():
+    first = ready.select("block").orderBy(F.xxhash64("block")).first()["block"]
+    for r in ready.where(F.col("block") == first).limit(1).collect():
         held, n = np.array(r["held"], bool), np.array(r["n"], np.int64)
         part = chosen(token_classes(r["tokens"], r["class"]), n, ~held)
         for _ in range(warm if len(part[1]) else 0):
