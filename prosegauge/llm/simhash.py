@@ -158,17 +158,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     prints = materialize(fingerprints(docs, key, text, width), "simhash-prints")
     return groups(prints, radius).select("doc_id", hexadecimal().alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame:
-    """The documents less the copies: of each component the row with the smallest doc_id stays.
-
-    Of rows that share that doc_id one stays, the one with the smallest hash of
-    its text. Rows without doc_id stay, as nothing names them.
-    """
-    found = near_duplicates(docs.select("doc_id", "text"), width=width, radius=radius)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
-    order = F.struct(F.xxhash64("text"), F.to_json(F.struct(*docs.columns)))
-    one = named.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
-    return one.unionByName(docs.where("doc_id is null"))
