@@ -102,15 +102,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     """``query_id, rank, vec_id, score``: the ``k`` rows nearest each query row, nearest first.
 
     Ties go to the smaller id. Vectors that are null, all zero, or hold null or
-    non-finite components take no part, nor do rows without an id. A row with the
-    query's own id is never its neighbour; a row that occurs again under another
-    id is. Vectors are compared with vectors of their own length only. Fewer than
-    ``k`` candidates are returned all; an empty table gives no rows.
+    non-finite components take no part, nor do rows without an id. Of rows that
+    share an id one counts, the one with the smallest vector. Vectors are compared
+    with vectors of their own length only. Fewer than ``k`` candidates are returned
+    all; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     small_batches(spark, 64)
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
-    rows = vectors.where(F.col(key).isNotNull()).where(usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), x.alias("x"), F.size(vector).alias("dim"), is_query.alias("query"))
+    rows = vectors.where(F.col(key).isNotNull()).where(usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), x.alias("x"), is_query.alias("query"))
+    rows = materialize(rows.groupBy("id").agg(F.min("x").alias("x"), F.max("query").alias("query")).withColumn("dim", F.size("x")), "ann-vectors")
     totals = rows.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.col("query").cast("int")).alias("q")).collect()  # a row for each length of vectors
     if not totals:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
