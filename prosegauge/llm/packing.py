@@ -35,7 +35,7 @@ from prosegauge.llm.common import batches, columns, materialize, small_batches
 CAPACITY = 1024
 END_ID = 2
 #: Rows of one length that are ranked together.
-RANKED = 2000
+RANKED = 250
 
 
 class Placed(NamedTuple):
