@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge.functions import prose
-from prosegauge.functions.prose import clip01, either, phrase
+from prosegauge.functions.prose import clip01, any_of, phrase
 from prosegauge.sources.rules import lexicon
 
 # Weights of the components and of the structural habits, bands and labels.
@@ -116,7 +116,7 @@ def _after_code(text: Column) -> Column:
 def counts(viewed: DataFrame, key: str = "doc_id") -> DataFrame:
     """Raw counts, from which every component follows."""
     single, several = lexicon_phrases()
-    hits = F.regexp_extract_all("padded", F.lit(either(single + several)), F.lit(0))
+    hits = F.regexp_extract_all("padded", F.lit(any_of(single + several)), F.lit(0))
     heavy = sorted({phrase(p) for p in several})
     lines, sentences = F.col("lines"), F.col("sentences")
     coded = F.array_join(F.transform(lines, lambda x: F.when(x.rlike(HEADING), "H").when(x.rlike(BULLET), "B").when(x.rlike(r"[^ \t\r]"), "P").otherwise("")), "")
@@ -132,8 +132,8 @@ def counts(viewed: DataFrame, key: str = "doc_id") -> DataFrame:
     base = viewed.withColumn("hits", hits).withColumn("heads", heads).withColumn("lengths", lengths).withColumn("skeletons", F.transform(sentences, lambda x, k: _told_apart(_skeleton(x), k)))
     base = base.withColumn("runs", prose.run_lengths(F.col("skeletons"))).withColumn("openers", F.sort_array(openers)).withColumn("endings", F.sort_array(F.transform(sentences, _ending)))
     top = prose.padded(prose.words(F.array_join(F.transform(F.slice(F.split("clean", "\n"), F.lit(1), F.ceil(F.size("lines") / 10).cast("int")), lambda x: x), "\n")))
-    meta = F.regexp_extract_all("padded", F.lit(either(META_PHRASES)), F.lit(0))
-    early = F.regexp_extract_all(top, F.lit(either(META_PHRASES)), F.lit(0))
+    meta = F.regexp_extract_all("padded", F.lit(any_of(META_PHRASES)), F.lit(0))
+    early = F.regexp_extract_all(top, F.lit(any_of(META_PHRASES)), F.lit(0))
     base = base.withColumn("meta_found", meta).withColumn("early", early)
     once = F.exists("early", lambda h: F.size(F.filter(F.col("meta_found"), lambda m: m == h)) == 1)
     allowed = (F.col("w") >= LONG) & once
@@ -149,12 +149,12 @@ def counts(viewed: DataFrame, key: str = "doc_id") -> DataFrame:
         (_count(coded, "HP+B+P") >= 3).cast("int").alias("section_mold"),
         _count(ordinal, r"1\.{0,2}2\.{0,2}3").alias("over_numbered"),
         _count(F.col("clean"), FIELD_DUMP).alias("field_dump"),
-        _count(F.col("padded"), either(CLOSING)).alias("closing_summary"),
+        _count(F.col("padded"), any_of(CLOSING)).alias("closing_summary"),
         repeated.alias("connector_monotony"),
-        _count(F.col("padded"), either(PROGRESS)).alias("progress"),
-        _count(F.col("padded"), either(CLASSIFYING)).alias("pre_classification"),
-        _count(F.col("padded"), either(IMAGINE)).alias("imagine"),
-        _count(F.col("after_code"), either(AFTER_CODE)).alias("post_code"),
+        _count(F.col("padded"), any_of(PROGRESS)).alias("progress"),
+        _count(F.col("padded"), any_of(CLASSIFYING)).alias("pre_classification"),
+        _count(F.col("padded"), any_of(IMAGINE)).alias("imagine"),
+        _count(F.col("after_code"), any_of(AFTER_CODE)).alias("post_code"),
         total("lengths").alias("length_sum"),
         total(F.transform("lengths", lambda n: n.cast("long") * n)).alias("length_squares"),
         prose.runs(F.col("openers"), 3).alias("openers_repeated"),
