@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 import tempfile
 from pathlib import Path
@@ -69,7 +70,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         docs = documents.scan_stdin(spark) if args.command == "stdin" else documents.scan_file(spark, args.file)
         found = findings.findings(docs, rules.load(pack).patterns, lang=args.lang)
         form = "json" if args.command == "analyze" else args.format
-        print(reports.report(docs, found, form).first()["report"])
+        text = reports.report(docs, found, form).first()["report"]
+        print(json.dumps(json.loads(text), indent=2, ensure_ascii=False) if form == "json" else text)
     elif args.command == "rules":
         catalogue = pack / rules.CATEGORIES
         print(reports.listing(rules.load(pack), rules.load_categories(catalogue) if catalogue.exists() else []), end="")
@@ -97,7 +99,7 @@ def told(parsed: DataFrame, stream=None) -> int:
     if row["error"]:
         print(row["error"], file=sys.stderr)
         return 1
-    print(quality.text_lines(parsed).first()["report"] if stream else row["json"], file=stream or sys.stdout)
+    print(quality.text_lines(parsed).first()["report"] if stream else json.dumps(json.loads(row["json"]), indent=2, ensure_ascii=False), file=stream or sys.stdout)
     if row["low"] and not stream:
         print(f"WARNING: quality assessment overall score {row['overall']:.2f} is below 0.60; the rewrite may have degraded quality.", file=sys.stderr)
     return 0

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosegauge.functions.regexes import to_java
 from prosegauge.sources.rules import Pattern
 
 #: Pairs of noncharacters that set matches off; the first pair that a text doesn't hold is used.
@@ -101,11 +102,13 @@ def over_target(counts: DataFrame, target: int = 0) -> DataFrame:
     return counts.where(F.col("match_count") > target)
 
 
-def suppressed(found: DataFrame, ignore: str) -> DataFrame:
-    """Findings less those whose text matches a line of ``ignore``: one expression a line, # for remarks."""
-    from prosegauge.functions.regexes import to_java
+def ignored(ignore: str) -> list[str]:
+    """The expressions of a list, one a line; # starts a remark."""
+    return [to_java(line.strip()) for line in ignore.splitlines() if line.strip() and not line.strip().startswith("#")]
+
 
-    rules = [to_java(line.strip()) for line in ignore.splitlines() if line.strip() and not line.strip().startswith("#")]
-    for rule in rules:
+def suppressed(found: DataFrame, ignore: str) -> DataFrame:
+    """Findings less those whose text matches a line of ``ignore``."""
+    for rule in ignored(ignore):
         found = found.where(~F.col("matched_text").rlike(rule))
     return found

@@ -65,6 +65,13 @@ def as_json(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame
     return docs.select(key).join(rows.select(key, text.alias("report")), key, "left").select(key, F.coalesce("report", F.lit("[]")).alias("report"))
 
 
+def read_json(made: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Findings from their JSON, one row each; text that is no such array stops the job."""
+    shape = "array<struct<pattern_name:string,severity:string,weight:double,matched_text:string,line_number:int>>"
+    rows = F.from_json("report", shape, {"mode": "FAILFAST"})
+    return made.select(key, F.posexplode(rows).alias("match_ord", "r")).select(key, "match_ord", "r.*")
+
+
 def report(docs: DataFrame, found: DataFrame, form: str = "text", key: str = "doc_id") -> DataFrame:
     """``json``, ``markdown``, or text for any other name."""
     return {"json": as_json, "markdown": markdown}.get(form, plain)(docs, found, key)

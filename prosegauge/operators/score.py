@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from prosegauge.functions import prose
 from prosegauge.functions.prose import clip01, any_of, phrase
+from prosegauge.operators.findings import ignored
 from prosegauge.sources.rules import lexicon
 
 # Weights of the components and of the structural habits, bands and labels.
@@ -113,10 +114,20 @@ def _after_code(text: Column) -> Column:
     return F.transform(after, lambda p: F.concat(F.slice(prose.words(F.lower(F.replace(p, F.lit("’"), F.lit("'")))), 1, 3), F.array(F.lit("|"))))
 
 
-def counts(viewed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Raw counts, from which every component follows."""
+def counts(viewed: DataFrame, key: str = "doc_id", ignore: str = "") -> DataFrame:
+    """Raw counts, from which every component follows.
+
+    Words and phrases that a line of ``ignore`` matches are not counted.
+    """
+    rules = ignored(ignore)
+
+    def kept(found: Column) -> Column:
+        for rule in rules:
+            found = F.filter(found, lambda h: ~F.trim(F.replace(h, F.lit("  "), F.lit(" "))).rlike(rule))  # noqa: B023
+        return found
+
     single, several = lexicon_phrases()
-    hits = F.regexp_extract_all("padded", F.lit(any_of(single + several)), F.lit(0))
+    hits = kept(F.regexp_extract_all("padded", F.lit(any_of(single + several)), F.lit(0)))
     heavy = sorted({phrase(p) for p in several})
     lines, sentences = F.col("lines"), F.col("sentences")
     coded = F.array_join(F.transform(lines, lambda x: F.when(x.rlike(HEADING), "H").when(x.rlike(BULLET), "B").when(x.rlike(r"[^ \t\r]"), "P").otherwise("")), "")
@@ -132,8 +143,8 @@ def counts(viewed: DataFrame, key: str = "doc_id") -> DataFrame:
     base = viewed.withColumn("hits", hits).withColumn("heads", heads).withColumn("lengths", lengths).withColumn("skeletons", F.transform(sentences, lambda x, k: _told_apart(_skeleton(x), k)))
     base = base.withColumn("runs", prose.run_lengths(F.col("skeletons"))).withColumn("openers", F.sort_array(openers)).withColumn("endings", F.sort_array(F.transform(sentences, _ending)))
     top = prose.padded(prose.words(F.array_join(F.transform(F.slice(F.split("clean", "\n"), F.lit(1), F.ceil(F.size("lines") / 10).cast("int")), lambda x: x), "\n")))
-    meta = F.regexp_extract_all("padded", F.lit(any_of(META_PHRASES)), F.lit(0))
-    early = F.regexp_extract_all(top, F.lit(any_of(META_PHRASES)), F.lit(0))
+    meta = kept(F.regexp_extract_all("padded", F.lit(any_of(META_PHRASES)), F.lit(0)))
+    early = kept(F.regexp_extract_all(top, F.lit(any_of(META_PHRASES)), F.lit(0)))
     base = base.withColumn("meta_found", meta).withColumn("early", early)
     once = F.exists("early", lambda h: F.size(F.filter(F.col("meta_found"), lambda m: m == h)) == 1)
     allowed = (F.col("w") >= LONG) & once
@@ -244,20 +255,19 @@ def label(kind: str, density: Column) -> Column:
     return out.otherwise("severe")
 
 
-def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", ignore: str = "") -> DataFrame:
     """Counts, components, ``score``, ``band``, and which components need cleaning whatever the score."""
-    out = components(counts(views(docs, key, text), key))
+    out = components(counts(views(docs, key, text), key, ignore))
     names = list(WEIGHTS)
     guarded = F.array_compact(F.array(*[F.when(F.col(n) >= GUARD, n) for n in names]))
     out = out.withColumn("score", final(*[F.col(n) for n in names])).withColumn("band", band(F.col("score")))
     return out.withColumns({"guarded": guarded, "bwd_signal": label("bwd", F.col("banned_density")), "spv_signal": label("spv", F.col("structural_density")), "meta_signal": label("meta", F.col("meta_density"))})
 
 
-def located(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def located(docs: DataFrame, key: str = "doc_id", text: str = "text", ignore: str = "") -> DataFrame:
     """Findings of words and phrases with their place: ``start``, ``stop`` (characters), ``line``.
 
-    ``component`` is bwd, meta or spv; one place may be found for several, and
-    ``linked`` tells where a meta finding and a structural one share it.
+    ``component`` is bwd, meta or spv; one place may be found for several.
     """
     kinds = []
     single, several = lexicon_phrases()
@@ -283,6 +293,8 @@ def located(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     known = F.create_map(*[F.lit(x) for pair in sorted(fixes.items()) for x in pair])
     fix = F.try_element_at(known, F.regexp_replace("text", r"\s+", " "))
     severity = F.when(F.col("category") == "banned_phrase", "high").otherwise("medium")
+    for rule in ignored(ignore):
+        out = out.where(~F.regexp_replace("text", r"\s+", " ").rlike(rule))
     return out.select(key, "component", "category", severity.alias("severity"), "text", "start", "stop", "line", fix.alias("suggested_fix"))
 
 
@@ -295,9 +307,9 @@ def spelled(phrases: list[str]) -> str:
     return f"(?<!{edge})(?<!{edge}')(?:" + "|".join(sorted(forms, key=lambda f: (-f.count("+"), -len(f), f))) + f")(?!{edge})(?!'{edge})"
 
 
-def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text", ignore: str = "") -> DataFrame:
     """``key, report``: one nested record for each document, with enough counts to compute the score by hand."""
-    found = located(docs, key, text).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "component", "category", "severity", "text", "line", "suggested_fix"))).alias("found"))
+    found = located(docs, key, text, ignore).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "component", "category", "severity", "text", "line", "suggested_fix"))).alias("found"))
     names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
     finding = lambda f: F.struct(F.array(f["start"], f["stop"]).alias("span"), f["line"].alias("line"), f["category"].alias("category"), f["severity"].alias("severity"), f["text"].alias("text"), f["suggested_fix"].alias("suggested_fix"), F.try_element_at(names, f["component"]).alias("component"))
     r4 = lambda x: F.round(F.col(x), 4).alias
@@ -309,7 +321,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         "md": [r4("bullet_ratio")("bullet_ratio"), r4("heading_ratio")("heading_ratio"), r4("table_ratio")("table_ratio"), r4("emphasis_density")("emphasis_density_per_1000_words")],
     }
     made = F.struct(*[F.struct(F.lit(WEIGHTS[n]).alias("weight"), r4(n)("score"), *parts[n]).alias(NAMES[n]) for n in WEIGHTS])
-    joined = scored(docs, key, text).join(found, key, "left")
+    joined = scored(docs, key, text, ignore).join(found, key, "left")
     empty = F.array().cast("array<struct<start:int,stop:int,component:string,category:string,severity:string,text:string,line:int,suggested_fix:string>>")
     record = F.struct(
         F.lit("0.1.0").alias("version"),

@@ -177,8 +177,7 @@ def report_json(spark, sf_dir):
     """The JSON text, read back: the spacing of JSON differs between engines."""
     docs = documents.decorated(spark, sf_dir)
     made = reports.as_json(docs, findings.findings(docs, pack().patterns))
-    shape = "array<struct<pattern_name:string,severity:string,weight:double,matched_text:string,line_number:int>>"
-    return made.select("doc_id", F.explode(F.from_json("report", shape)).alias("r")).select("doc_id", "r.*")
+    return reports.read_json(made).drop("match_ord")
 
 
 _SUMMARY = "'. [' || severity || '] ' || pattern_name"
@@ -262,6 +261,13 @@ def guardrail(spark, sf_dir):
     return scored(spark, sf_dir).where(F.size("guarded") > 0).select("doc_id", "score", F.array_join("guarded", ",").alias("guarded"))
 
 
+@query("score_ignoring", sql.scored("SELECT doc_id, banned_words, banned_phrases, meta_hits FROM banded").replace("lambda h: h NOT IN", "lambda h: h != ' robust ' AND h NOT IN").replace("lambda h: h IN", "lambda h: h != ' in  order  to ' AND h IN"))
+def score_ignoring(spark, sf_dir):
+    """Hits that a list of expressions suppresses don't count."""
+    counts = score.scored(documents.decorated(spark, sf_dir), ignore="# ours\n^robust$\n^in order to$")
+    return counts.select("doc_id", "banned_words", "banned_phrases", "meta_hits")
+
+
 @query("signal_labels", sql.scored("""SELECT doc_id,
  CASE WHEN banned_density <= 0 THEN 'clean' WHEN banned_density < 2 THEN 'trace' WHEN banned_density < 5 THEN 'light' WHEN banned_density < 8 THEN 'moderate' WHEN banned_density < 16 THEN 'high' ELSE 'severe' END AS bwd_signal,
  CASE WHEN structural_density < 1 THEN 'clean/trace' WHEN structural_density < 3 THEN 'light' WHEN structural_density < 5 THEN 'moderate' WHEN structural_density < 10 THEN 'high' ELSE 'severe' END AS spv_signal,
