@@ -30,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,17 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def pack(tokens: np.ndarray) -> bytes:
+    """Tokens by planes of their bytes, compressed: the high planes are nearly empty."""
+    planes = np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def encode(rows: list[tuple[int | None, str | None, bool]]) -> tuple:
     """One block: tokens as indices into the block's words, and how often training rows have each word."""
     index: dict[bytes, int] = {b"": 0}
@@ -71,7 +83,7 @@ def encode(rows: list[tuple[int | None, str | None, bool]]) -> tuple:
     h = xxhash.xxh64_intdigest
     words = np.fromiter((h(w) for w in index), np.uint64, len(index))
     ends = np.fromiter((h(w[-3:]) for w in index), np.uint64, len(index)) % np.uint64(ENDINGS)
-    return [r[0] for r in rows], [r[2] for r in rows], n, tokens.tobytes(), words.tobytes(), ends.astype(np.uint16).tobytes(), seen.tobytes()
+    return [r[0] for r in rows], [r[2] for r in rows], n, pack(tokens), words.tobytes(), ends.astype(np.uint16).tobytes(), seen.tobytes()
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -318,7 +330,7 @@ def chosen(classes: np.ndarray, n: np.ndarray, keep: np.ndarray) -> tuple[np.nda
 
 
 def token_classes(tokens: bytes, classes: bytes) -> np.ndarray:
-    return np.frombuffer(classes, np.uint16)[np.frombuffer(tokens, np.uint32)].astype(np.int64)
+    return np.frombuffer(classes, np.uint16)[unpack(tokens)].astype(np.int64)
 
 
 def train(ready: DataFrame, counts: Counts, rounds: int = ROUNDS, warm: int = WARM) -> Model:
@@ -370,7 +382,7 @@ def score(ready: DataFrame, counts: Counts, model: Model) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for ids, held, n, tokens, count, cls in zip(*columns(batch, "doc_id", "held", "n", "tokens", "count", "class"), strict=True):
-                n, tokens, count, kind = np.array(n, np.int64), np.frombuffer(tokens, np.uint32), np.frombuffer(count, np.uint32).astype(np.float64), np.frombuffer(cls, np.uint16).astype(np.int64)
+                n, tokens, count, kind = np.array(n, np.int64), unpack(tokens), np.frombuffer(count, np.uint32).astype(np.float64), np.frombuffer(cls, np.uint16).astype(np.int64)
                 starts = np.cumsum(n) - n
                 add = lambda x: np.add.reduceat(x[tokens], starts)  # noqa: B023, E731
                 base = add(np.log10((count + 1) / (counts.tokens + counts.words + 1)))
