@@ -31,10 +31,6 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}|{SPACE}\\z", "")
 
 
-def first_line(text: Column) -> Column:
-    return F.regexp_replace(F.substring_index(text, "\n", 1), "\r\\z", "")
-
-
 def per_line(text: Column, java_regex: str) -> Column:
     """Every match within a line, as it is, with the line's number."""
     found = F.transform(
@@ -44,27 +40,34 @@ def per_line(text: Column, java_regex: str) -> Column:
     return F.flatten(found).cast(FINDING)
 
 
-def segments(text: Column, java_regex: str, opening: Column, closing: Column) -> Column:
-    """The text cut before each match; every part but the first starts with a match, up to the closing mark."""
-    return F.split(F.regexp_replace(text, F.lit(java_regex), F.concat(opening, F.lit("$0"), closing)), opening)
+def whole_text(text: Column, java_regex: str) -> Column:
+    """Every match in the text: its first line, trimmed, and the number of the line that it starts in.
 
+    Matches are set off by marks, and the marked text is read line by line: what
+    follows an opening mark, up to the closing one or the line's end, is the first
+    line of a match that starts there.
+    """
+    chosen = F.lit(len(MARKS) - 1)
+    for k in range(len(MARKS) - 2, -1, -1):
+        chosen = F.when(~F.contains(text, F.lit(MARKS[k][0])) & ~F.contains(text, F.lit(MARKS[k][1])), k).otherwise(chosen)
 
-def whole_text(text: Column, java_regex: str) -> Column:
-    """Every match in the text: its first line, trimmed, and the number of the line that it starts in."""
-    opening, closing = F.lit(MARKS[-1][0]), F.lit(MARKS[-1][1])
-    for a, b in reversed(MARKS[:-1]):
-        free = ~F.contains(text, F.lit(a)) & ~F.contains(text, F.lit(b))
-        opening, closing = F.when(free, F.lit(a)).otherwise(opening), F.when(free, F.lit(b)).otherwise(closing)
-
-    def rows(parts: Column) -> Column:
-        feeds = F.transform(parts, lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"))))
-        one = lambda k: F.struct(
-            trimmed(first_line(F.get(F.split(F.get(parts, k), closing), 0))).alias("matched_text"),
-            (F.aggregate(F.slice(feeds, 1, k), F.lit(1), lambda n, x: n + x)).alias("line_number"),
-        )
-        return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), one)).otherwise(F.array().cast(FINDING))
+    def rows(chosen: Column) -> Column:  # bound once for the text
+        out = None
+        for k, (opening, closing) in enumerate(MARKS):
+            found = marked_rows(F.regexp_replace(text, F.lit(java_regex), F.lit(f"{opening}$0{closing}")), opening, closing)
+            out = F.when(chosen == k, found) if out is None else out.when(chosen == k, found)
+        return out
+
+    return F.get(F.transform(F.array(chosen), rows), 0).cast(FINDING)
+
+
+def marked_rows(marked: Column, opening: str, closing: str) -> Column:
+    def starts(line: Column, k: Column) -> Column:
+        parts = F.split(line, opening)
+        one = lambda p: F.struct(trimmed(F.substring_index(p, closing, 1)).alias("matched_text"), (k + 1).alias("line_number"))
+        return F.transform(F.slice(parts, F.lit(2), F.size(parts)), one)
 
-    return F.get(F.transform(F.array(segments(text, java_regex, opening, closing)), rows), 0).cast(FINDING)
+    return F.flatten(F.transform(F.split(marked, "\n"), starts))
 
 
 def findings(docs: DataFrame, patterns: list[Pattern], key: str = "doc_id", text: str = "text", lang: str = "auto") -> DataFrame:
