@@ -9,8 +9,9 @@ from prosegauge.sources.rules import Category, Pattern, Ruleset
 
 TOP = 8
 
-# The fields of a match in JSON, in order.
+# The fields of a match in JSON, in order, and the Markdown report's title.
 FIELDS = ("pattern_name", "severity", "weight", "matched_text", "line_number")
+TITLE = "# AI Slop Structural Match Report"
 
 
 def top(found: DataFrame, k: int = TOP, key: str = "doc_id") -> DataFrame:
@@ -47,7 +48,7 @@ def weight(value: Column | str) -> Column:
 def markdown(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, report``: a heading, the count, and an item for each finding."""
     item = F.format_string("- **%s** (severity: %s, weight: %.1f)\n  - Line %d: %s\n\n", "pattern_name", "severity", "weight", "line_number", "matched_text")
-    head = F.concat(F.lit("# AI Slop Structural Match Report\n\nMatches found: "), F.col("n").cast("string"), F.lit("\n\n"))
+    head = F.concat(F.lit(f"{TITLE}\n\nMatches found: "), F.col("n").cast("string"), F.lit("\n\n"))
     return _gathered(docs, found, item, ["rule_ord", "match_ord"], key).select(key, F.concat(head, F.array_join("parts", "")).alias("report"))
 
 
