@@ -2,10 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import materialize, release
+from prosegauge.llm.common import columns, materialize, release
+
+#: Edges that one task contracts.
+PART = 100_000
+
+
+def contracted(edges: DataFrame, part: int = PART) -> DataFrame:
+    """``edges(src, dst)`` -> as few or fewer edges that connect the same nodes.
+
+    Each task joins what its own edges connect and sends one edge from each node
+    to the smallest, so that chains become stars. A task holds ``part`` edges or so.
+    """
+    n = edges.count()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = up
+            return x
+
+        for batch in it:
+            for a, b in zip(*columns(batch, "src", "dst"), strict=True):
+                if a is not None and b is not None:
+                    a, b = find(a), find(b)
+                    root[max(a, b)] = min(a, b)
+        pairs = [(x, find(x)) for x in list(root)]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        if pairs:
+            src, dst = zip(*pairs, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    return edges.select("src", "dst").coalesce(max(1, -(-n // part))).mapInArrow(run, "src long, dst long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
