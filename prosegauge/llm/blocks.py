@@ -14,15 +14,20 @@ from typing import NamedTuple
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|math|object|select|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>|</[^>]*>",
     re.S | re.I,
 )
+#: Elements whose content isn't text of the page, with their ends.
+DROPPED = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template svg iframe annotation select textarea title".split()}
+#: Of these, those that go on to the end of the page where no end tag follows, and those that may be closed at once.
+TO_END, CLOSED = frozenset(["script", "style"]), frozenset(["svg", "iframe"])
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"\s+")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr object".split())
+#: Formulas stand within a line.
+INLINE |= frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom menclose merror msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag that ends an open element of the same set.
 SIBLINGS = {t: s for s in (frozenset(["p"]), frozenset(["li"]), frozenset(["dt", "dd"]), frozenset(["td", "th"]), frozenset(["tr"]), frozenset(["option"])) for t in s}
@@ -72,15 +77,25 @@ def blocks(html: str | None) -> list[Block]:
                 return
 
     page, at = html or "", 0
-    for m in TOKEN.finditer(page):
+    endless: set[str] = set()
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             run = page[at : m.start()]
             text.append(run)
             linked += len(run) if links else 0
         at = m.end()
-        if not (tag := m[3]):
+        if not (tag := m[2]):
+            continue
+        tag, end = tag.lower(), m[1]
+        if tag in DROPPED:
+            if not end and tag not in endless and not (tag in CLOSED and m[3].endswith("/")):
+                if found := DROPPED[tag].search(page, at):
+                    at = found.end()
+                elif tag in TO_END:
+                    at = len(page)
+                else:
+                    endless.add(tag)
             continue
-        tag, end = tag.lower(), m[2]
         if tag == "a":
             links = max(0, links - 1) if end else links + 1
         if tag == "br":
@@ -95,7 +110,7 @@ def blocks(html: str | None) -> list[Block]:
                 if tag in ENDS_P:
                     close(SIBLINGS["p"], HOLDERS)
                 if tag not in EMPTY:
-                    stack.append((tag, named_words(m[4])))
+                    stack.append((tag, named_words(m[3])))
             else:
                 close(frozenset([tag]))
     if at < len(page):

@@ -25,6 +25,16 @@ def test_blocks_of_malformed_markup():
     assert texts("</div></p>text</span>") == ["text"]
 
 
+def test_elements_left_out_take_no_text_with_them():
+    page = "<p>One.</p>{}<p>Two.</p><p>Three.</p>"
+    for tag in ("<svg-icon name='x'></svg-icon>", "<title-bar/>", "<select-box>", "<svg viewBox='0 0 1 1'/>", "<iframe src='x' />", "<math/>", "<object/>", "<svg><path></svg>", "<svg>", "<select>", "<noscript>", "<title>", "<iframe>", "</svg>", "<svg><text>no</text></svg>"):
+        assert texts(page.format(tag)) == ["One.", "Two.", "Three."], tag
+    assert texts(page.format("<style>")) == ["One."]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>") == ["Let x=2 be."]
+    assert texts("<p>See <object data='a'>the other text</object> here.</p>") == ["See the other text here."]
+    assert len(blocks("<p>a</p><svg>" * 20_000)) == 20_000
+
+
 def test_ancestors_and_names():
     found = blocks('<body><div class="postContent main-col"><article><p>x</p></article></div><nav id=menu><a href="/">y</a></nav>')
     assert found[0].tags == ("body", "div", "article", "p") and {"post", "content", "main", "col"} <= found[0].words
