@@ -10,7 +10,8 @@ vectors, and a network with one hidden layer turns that into a probability, whic
 a temperature fitted on rows kept from the training makes honest.
 
 The model is fitted on a bounded sample: the ``SAMPLE`` labelled rows with the
-smallest hash of their key, as far as ``SAMPLE_CHARS`` characters go. Terms that
+smallest hash of their key, less those that the ``SAMPLE_CHARS`` characters left
+have no room for. Terms that
 are rare in it share one vector. All documents are scored, whole.
 """
 
@@ -189,10 +190,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sizes = sized.orderBy(F.xxhash64("k"), "k", "n").limit(SAMPLE).collect()
     room, ids = SAMPLE_CHARS, []
     for r in sizes:
-        room -= r["n"]
-        if room < 0:
-            break
-        ids.append((r["k"], r["y"]))
+        if r["n"] <= room:
+            room -= r["n"]
+            ids.append((r["k"], r["y"]))
     if not ids:
         return Quality([], [])
     spark = docs.sparkSession

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from prosegauge.llm import quality
 
@@ -75,3 +76,11 @@ def test_gradient():
         down = loss()
         p[at] += eps
         assert np.isclose(g[at], (up - down) / (2 * eps), atol=1e-6)
+
+
+def test_a_text_without_room_does_not_end_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_CHARS", 4000)
+    first = spark.range(60).orderBy(F.xxhash64("id"), "id").first()["id"]
+    rows = [(i, "word " * 1000 if i == first else f"text number {i} of a few words", i % 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    assert quality.train(docs.drop("quality"), docs.drop("text")).network is not None
