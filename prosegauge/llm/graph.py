@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from prosegauge.llm.common import columns, materialize, release
 
@@ -19,13 +20,15 @@ def contracted(edges: DataFrame, part: int = PART) -> DataFrame:
 
     Each task joins what its own edges connect and sends one edge from each node
     to the smallest, so that chains become stars. A task holds ``part`` edges or so.
+    Nodes are of any one type that has an order.
     """
-    n = edges.count()
+    n, rows = edges.count(), edges.select("src", "dst")
+    kind = to_arrow_type(rows.schema["src"].dataType)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict[int, int] = {}
+        root: dict = {}
 
-        def find(x: int) -> int:
+        def find(x):
             while (up := root.setdefault(x, x)) != x:
                 root[x] = root[up]
                 x = up
@@ -40,9 +43,9 @@ def contracted(edges: DataFrame, part: int = PART) -> DataFrame:
         pairs = [p for p in pairs if p[0] != p[1]]
         if pairs:
             src, dst = zip(*pairs, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+            yield pa.RecordBatch.from_arrays([pa.array(src, kind), pa.array(dst, kind)], names=["src", "dst"])
 
-    return edges.select("src", "dst").coalesce(max(1, -(-n // part))).mapInArrow(run, "src long, dst long")
+    return rows.coalesce(max(1, -(-n // part))).mapInArrow(run, rows.schema)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
