@@ -29,7 +29,7 @@ def features(block: Block, at: int, n: int) -> list[str]:
     found = {f"in:{t}" for t in tags}
     roles = {ROLES[w] for w in block.words if w in ROLES}
     found |= {f"role:{r}" for r in roles} or {"role:none"}
-    parent = tags[-1] if tags else "none"
+    parent = block.parent
     linked = min(1.0, block.linked / max(1, size))
     link = "none" if not block.linked else "some" if linked < 0.5 else "most"
     length = sum(size >= x for x in (12, 30, 70, 150, 400))
@@ -49,7 +49,7 @@ class Model:
         self.index: dict[str, int] = {}
         rows = []
         for html, parts in labelled(pages):
-            made = blocks(html)
+            made = blocks(html, ROLES)
             if len(made) != len(parts):
                 raise AssertionError("a labelled page doesn't parse into its blocks")
             if made:
@@ -65,7 +65,7 @@ class Model:
         return self.chain.decode(self.chain.scores(rows))
 
     def text(self, html: str | None) -> str:
-        page = blocks(html)
+        page = blocks(html, ROLES)
         return "\n\n".join(b.text for b, keep in zip(page, self.wanted(page), strict=True) if keep)
 
 

@@ -1,6 +1,7 @@
 """Blocks, the field against enumeration, and pages it was not trained on."""
 
 import itertools
+import time
 
 import numpy as np
 
@@ -37,8 +38,39 @@ def test_elements_left_out_take_no_text_with_them():
 
 def test_ancestors_and_names():
     found = blocks('<body><div class="postContent main-col"><article><p>x</p></article></div><nav id=menu><a href="/">y</a></nav>')
-    assert found[0].tags == ("body", "div", "article", "p") and {"post", "content", "main", "col"} <= found[0].words
-    assert found[1].tags == ("body", "nav") and "menu" in found[1].words and found[1].linked == 1
+    assert found[0].tags == {"body", "div", "article", "p"} and found[0].parent == "p" and {"post", "content", "main", "col"} <= found[0].words
+    assert found[1].tags == {"body", "nav"} and "menu" in found[1].words and found[1].linked == 1
+
+
+def test_quotes_and_tags_without_an_end():
+    assert texts("<p title=it's>one</p><p class=\"a'b\">two</p>") == ["one", "two"]
+    assert texts("<a title='x>y'>one</a> two") == ["one two"]
+    assert texts('<p class="never closed>one</p><p>two</p>') == ["one", "two"]
+    assert texts('<p>x</p><a b=">" c=">" then') == ["x", '" c=">" then'] or texts('<p>x</p><a b=">" c=">" then') == ["x", '" then']
+    assert texts("less <than all") == ["less <than all"] and texts("<p>a < b and b > c</p>") == ["a < b and b > c"]
+    assert texts("<p>x</p><!-- no end <p>y</p> z") == ["x"]
+
+
+def test_time_follows_the_length_of_the_page():
+    def seconds(page):
+        began = time.process_time()
+        blocks(page, {"w1"})
+        return time.process_time() - began
+
+    made = [
+        lambda n: "<div>x" * n,
+        lambda n: "".join(f'<div class="w{k} w1"><t{k}>x' for k in range(n)),
+        lambda n: "<a " * n,
+        lambda n: "<a " * n + ">",
+        lambda n: "<a b='" * n,
+        lambda n: '<a b=">" ' * n,
+        lambda n: "<h1>x" * n + "x</p></section>" * n,
+        lambda n: "<!-- " * n,
+        lambda n: "<svg>" * n + "</p>" * n,
+    ]
+    for page in made:
+        seconds(page(2_000))
+        assert seconds(page(80_000)) < 40 * max(seconds(page(8_000)), 0.02), page(2)
 
 
 def chain(seed):
