@@ -1,20 +1,25 @@
 """Best-fit packing of documents' token sequences into rows of fixed capacity.
 
-Bulk-synchronous best-fit decreasing. Documents (or the pieces of longer ones)
-are range-sorted by length and open sequences by the gap they have left. A
-superstep takes the longest documents not yet placed and sweeps the gaps upward
-from their length: the tightest gaps take documents until they are too small,
-then the next gaps do, and what finds no gap opens new sequences. Which of the
-documents that want a gap gets it is settled by rank. Gaps are updated and the
-next superstep follows.
-
-Lengths and gaps are whole numbers up to the capacity, so documents of one
-length, and sequences of one gap, move as one run: a superstep is arithmetic on
-runs (start and count), and the state holds a few runs for each length whatever
-the number of documents. Rows never move for it. The cluster counts lengths,
-ranks rows within their length (a length that many rows share is split by a
-hash, each part ranked alone and shifted by the counts before it), and finds
-each row's sequence by its rank. The result equals best-fit decreasing.
+Bulk-synchronous best-fit decreasing. The state is a table, range-sorted by size,
+of what waits (documents, or pieces of longer ones) and of the gaps that open
+sequences have left. A superstep takes the documents of one band of lengths, the
+longest first, and all gaps that could hold them. The band is cut into ranges of
+size; in each, a task sweeps its documents downward, and each takes its successor,
+the smallest gap of the range that is large enough. What found no gap in its
+range is swept once more against the gaps left over from all ranges, and opens
+new sequences where there is none. Which of the documents that want a gap gets it
+is settled by rank. Gaps are updated in the table and the next superstep follows,
+for the next band, half as long, down to one token.
+
+Documents of one length, and sequences of one gap that were opened or filled
+together, move as one row of the table (a first one and a count), so that the
+table has a few rows for each length whatever the number of documents; ranks tell
+the documents of a length apart. Rows are ranked by the cluster (a
+length that many share is split by a hash, each part ranked alone and shifted by the
+counts before it) and find their sequence by their rank.
+
+The result is best-fit decreasing but for gaps in another range of the same band,
+which a document sees after those of its own range.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,62 +40,111 @@ from prosegauge.llm.common import batches, columns, materialize, small_batches
 
 CAPACITY = 1024
 END_ID = 2
-#: Rows of one length that are ranked together.
-RANKED = 250
+#: Ranges of size that a band of lengths is cut into.
+RANGES = 4
+#: Kinds of rows of the table that a superstep reads and writes.
+WAITS, GAP, PLACED = 0, 1, 2
+STATE = "kind int, size long, first long, count long, sequence long, each long, offset long"
 
 
-class Placed(NamedTuple):
-    """Documents of ``length`` with ranks from ``rank`` on, ``count`` of them: ``each`` to a sequence from ``sequence`` on."""
+class Run(NamedTuple):
+    """A row of the table.
 
-    length: int
-    rank: int
+    Waiting documents of length ``size`` with ranks from ``first`` on; sequences
+    from ``sequence`` on with a gap of ``size``; or documents that have a place,
+    ``each`` to a sequence from ``sequence`` on, the first of a sequence at ``offset``.
+    """
+
+    kind: int
+    size: int
+    first: int
     count: int
-    sequence: int
-    each: int
-    offset: int
+    sequence: int = 0
+    each: int = 0
+    offset: int = 0
+
 
+def sweep(runs: list[Run], capacity: int, open_from: int | None = None) -> list[Run]:
+    """Documents from the longest down take the smallest gap that is large enough.
 
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[Placed]:
-    """Supersteps over runs: how many documents have each length -> where each goes."""
-    runs: dict[int, list[tuple[int, int]]] = {}  # gap -> (first sequence, how many)
+    What finds none opens sequences with numbers from ``open_from`` on, or waits
+    where that is None. Equal documents and equal gaps are dealt with as runs.
+    """
+    held: dict[int, list[tuple[int, int]]] = {}  # gap -> (first sequence, how many)
     gaps: list[int] = []
-    opened, placed = 0, []
+    out = [r for r in runs if r.kind == PLACED]
 
     def put(gap: int, first: int, n: int) -> None:
         if gap and n:
-            if gap not in runs:
-                runs[gap] = []
+            if gap not in held:
+                held[gap] = []
                 insort(gaps, gap)
-            runs[gap].append((first, n))
+            held[gap].append((first, n))
 
-    for length in sorted(counts, reverse=True):
+    for r in sorted(r for r in runs if r.kind == GAP):
+        put(r.size, r.sequence, r.count)
+    for r in sorted((r for r in runs if r.kind == WAITS), key=lambda r: (-r.size, r.first)):
+        length, rank, left = r.size, r.first, r.count
         if not 0 < length <= capacity:
             raise ValueError(f"length {length} does not fit a capacity of {capacity}")
-        rank, left = 0, counts[length]
         while left:
-            at = bisect_left(gaps, length)  # the successor: the smallest gap that is large enough
+            at = bisect_left(gaps, length)  # the successor
             if at < len(gaps):
                 gap = gaps[at]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap], gaps[at]
+                first, n = held[gap].pop()
+                if not held[gap]:
+                    del held[gap], gaps[at]
+            elif open_from is None:
+                out.append(Run(WAITS, length, rank, left))
+                break
             else:
-                gap, first, n = capacity, opened, -(-left // (capacity // length))
-                opened += n
+                gap, first, n = capacity, open_from, -(-left // (capacity // length))
+                open_from += n
             each = gap // length
             full, over = min(n, left // each), 0
             if full:
-                placed.append(Placed(length, rank, full * each, first, each, capacity - gap))
+                out.append(Run(PLACED, length, rank, full * each, first, each, capacity - gap))
                 put(gap - each * length, first, full)
                 rank, left = rank + full * each, left - full * each
-            if full < n and left:
-                over = min(left, each - 1) if left < each else 0
-                if over:
-                    placed.append(Placed(length, rank, over, first + full, over, capacity - gap))
-                    put(gap - over * length, first + full, 1)
-                    rank, left = rank + over, left - over
+            if full < n and 0 < left < each:
+                over = left
+                out.append(Run(PLACED, length, rank, over, first + full, over, capacity - gap))
+                put(gap - over * length, first + full, 1)
+                left = 0
             put(gap, first + full + bool(over), n - full - bool(over))
-    return placed
+    return out + [Run(GAP, gap, 0, n, first) for gap in gaps for first, n in held[gap]]
+
+
+def bands(capacity: int) -> list[tuple[int, int]]:
+    """Bands of lengths, above the first number up to the second, the longest first."""
+    out, top = [], capacity
+    while top:
+        out.append((top // 2, top))
+        top //= 2
+    return out
+
+
+def superstep(state: DataFrame, low: int, high: int, step: int, capacity: int, ranges: int = RANGES) -> DataFrame:
+    """Places all documents longer than ``low``, of which none is longer than ``high``."""
+    width = -(-(high - low) // ranges)
+    takes_part = (F.col("size") > low) & (F.col("kind") != PLACED)
+    # larger gaps are a range of their own, without documents; the rest of the table only passes through
+    at = F.when(takes_part, F.least(F.floor((F.col("size") - low - 1) / width), F.lit(ranges))).otherwise(-1 - F.col("size") % ranges)
+
+    def local(rows: pd.DataFrame) -> pd.DataFrame:
+        runs = [Run(*map(int, r)) for r in rows.drop(columns="range").itertuples(index=False)]
+        if int(rows["range"].iloc[0]) >= 0:
+            runs = sweep(runs, capacity)
+        return pd.DataFrame(runs, columns=Run._fields)
+
+    def across(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        runs = [Run(*map(int, r)) for rows in it for r in rows.itertuples(index=False)]
+        some = [r for r in runs if r.kind != PLACED and r.size > low]
+        others = [r for r in runs if r.kind == PLACED or r.size <= low]
+        yield pd.DataFrame(others + sweep(some, capacity, step << 48), columns=Run._fields)
+
+    swept = state.withColumn("range", at.cast("int")).groupBy("range").applyInPandas(local, STATE)
+    return swept.repartition(1).mapInPandas(across, STATE)  # a few rows for each length, so bounded by the capacity
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -126,24 +181,28 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ``pieces`` is read more than once and should be a table. Rows alike in every
     column are told apart by nothing, and take places of their own all the same.
     """
-    spark = pieces.sparkSession
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    plan = best_fit(counts, capacity)
-    parts = -(-max(counts.values(), default=1) // RANKED)
-    rows = pieces.withColumn("part", F.pmod(F.xxhash64(*pieces.columns), F.lit(parts)).cast("int"))
+    small_batches(pieces.sparkSession)
+    counts = materialize(pieces.groupBy("length").agg(F.count("*").alias("n")), "pack-counts")
+    zero = F.lit(0).cast("long")
+    state = counts.select(F.lit(WAITS).alias("kind"), F.col("length").alias("size"), zero.alias("first"), F.col("n").alias("count"), zero.alias("sequence"), zero.alias("each"), zero.alias("offset"))
+    for step, (low, high) in enumerate(bands(capacity)):
+        state = superstep(state, low, high, step, capacity)
+    plan = materialize(state.where(F.col("kind") == PLACED).select(F.col("size").alias("length"), "first", "count", "sequence", "each", F.col("offset").alias("base")), "pack-plan")
+    # as many parts of a length as a part has rows, so that neither grows with the rows themselves
+    parts = counts.select("length", F.ceil(F.sqrt("n")).cast("int").alias("parts"))
+    rows = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64(*pieces.columns), F.col("parts")).cast("int")).drop("parts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = rows.groupBy("length", "part").agg(F.count("*").alias("n")).select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     within = Window.partitionBy("length", "part").orderBy(*pieces.columns)
     ranked = rows.withColumn("rank", F.row_number().over(within) - 1).join(shift, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("shift"))
-    # a few rows for each length, so bounded by the capacity
-    where = spark.createDataFrame([tuple(map(int, p)) for p in plan], "len long, first long, count long, sequence long, each long, base long")
-    hit = (F.col("length") == F.col("len")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("count"))
+    # as many rows as the sweeps made runs: a few for each length
     at = F.col("rank") - F.col("first")
-    return ranked.join(F.broadcast(where), hit).select(
+    out = ranked.join(F.broadcast(plan), "length").where((at >= 0) & (at < F.col("count"))).select(
         *pieces.columns,
         (F.col("sequence") + F.floor(at / F.col("each"))).cast("long").alias("sequence_id"),
         (F.col("base") + at % F.col("each") * F.col("length")).cast("long").alias("offset"),
     )
+    return out
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
