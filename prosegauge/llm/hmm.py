@@ -1,10 +1,10 @@
 """A hidden Markov language model and the unigram base it is held against.
 
 Words are hashed to 64 bits. Documents are encoded once into blocks of bounded
-size, each with its own small vocabulary, so that a block's words, not each of its
-tokens, are what is counted across the cluster: every block sends its distinct
-words to shards by hash, a shard adds up their training counts and returns them
-to the blocks. No vocabulary is ever held whole by one task or the driver.
+size; several blocks share a vocabulary, and its words, not each of their tokens,
+are what is counted across the cluster: rows of a word and its count are added up,
+and the sums are joined back. However frequent a word is, a vocabulary has it once.
+No list of all words is ever held by one task or the driver.
 
 The model emits a word class from a hidden state and a word from its class. The
 most frequent words are classes of their own, the others share classes by how
@@ -15,10 +15,11 @@ expected counts by class, which the cluster adds up and the driver (a table of
 fixed size) turns into the next model. A few rounds on one block set the start;
 all training documents take part in each of the rounds that follow.
 
-A text's probability is computed exactly by the scaled forward recursion, all
-texts of a block at once. What is longer than ``CHUNK`` tokens is cut: a later
-part is a product of matrices computed alongside the others and multiplied on at
-the end. In training (only) such parts count as sequences of their own.
+The scaled forward recursion (and, in training, the backward one) runs through all
+texts of a block at once. Long texts have blocks of their own. What is longer than
+``CHUNK`` tokens is cut, and the parts run side by side: the product of a part's
+matrices tells how it carries a state from its start to its end, so each part begins
+with exactly the state that the text before it leads to, and ends with what follows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -41,14 +41,18 @@ STATES = 8
 OWN = 2048
 ENDINGS = 2048
 BLOCK_CHARS = 4_000_000
-SHARD_WORDS = 300_000
-CHUNK = 2048
-WARM, ROUNDS = 12, 2
+#: Blocks that share a vocabulary, and the words after which a new one is begun.
+SHARED, WORDS = 8, 500_000
+#: Texts of more characters are long.
+LONG_CHARS = 12_000
+CHUNK = 16_384
+WARM, ROUNDS = 8, 5
 END = xxhash.xxh64_intdigest(b"")  # no word is empty
 
-BLOCK = "block long, doc_id array<long>, held array<boolean>, n array<int>, tokens binary, words binary, endings binary, seen binary"
+#: A row for each vocabulary. ``docs`` are the numbers of documents in its blocks, ``tokens`` the blocks.
+BLOCK = "block long, doc_id array<long>, held array<boolean>, n array<int>, docs array<int>, tokens array<binary>, words array<long>, endings array<short>, seen array<long>"
 
-READY = "block long, doc_id array<long>, held array<boolean>, n array<int>, tokens binary, count binary, class binary"
+READY = "block long, doc_id array<long>, held array<boolean>, n array<int>, docs array<int>, tokens array<binary>, count binary, class binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -67,40 +71,75 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def encode(rows: list[tuple[int | None, str | None, bool]]) -> tuple:
-    """One block: tokens as indices into the block's words, and how often training rows have each word."""
-    index: dict[bytes, int] = {b"": 0}
-    add = index.setdefault
-    parts, n = [], []
-    for _, text, _ in rows:
-        line = [add(w, len(index)) for w in words_of(text)]
-        line.append(0)
-        parts.append(np.array(line, np.uint32))
-        n.append(len(line))
-    tokens = np.concatenate(parts)
-    held = np.repeat([h for _, _, h in rows], n)
-    seen = np.bincount(tokens[~held], minlength=len(index)).astype(np.uint32)
-    h = xxhash.xxh64_intdigest
-    words = np.fromiter((h(w) for w in index), np.uint64, len(index))
-    ends = np.fromiter((h(w[-3:]) for w in index), np.uint64, len(index)) % np.uint64(ENDINGS)
-    return [r[0] for r in rows], [r[2] for r in rows], n, pack(tokens), words.tobytes(), ends.astype(np.uint16).tobytes(), seen.tobytes()
+class Vocabulary:
+    """Documents gathered into blocks, their tokens as indices into the words met so far."""
+
+    def __init__(self):
+        self.index: dict[bytes, int] = {b"": 0}
+        self.seen = np.zeros(1, np.int64)
+        self.doc_id: list = []
+        self.held: list[bool] = []
+        self.n: list[int] = []
+        self.docs: list[int] = []
+        self.tokens: list[bytes] = []
+
+    def add(self, rows: list[tuple[int | None, str | None, bool]]) -> None:
+        """One block."""
+        index, parts = self.index, []
+        put = index.setdefault
+        for _, text, _ in rows:
+            line = [put(w, len(index)) for w in words_of(text)]
+            line.append(0)
+            parts.append(np.array(line, np.uint32))
+        n, held = [len(p) for p in parts], [h for _, _, h in rows]
+        tokens = np.concatenate(parts)
+        seen = np.bincount(tokens[~np.repeat(held, n)], minlength=len(index))
+        seen[: len(self.seen)] += self.seen
+        self.seen = seen
+        self.doc_id += [r[0] for r in rows]
+        self.held += held
+        self.n += n
+        self.docs.append(len(rows))
+        self.tokens.append(pack(tokens))
+
+    def full(self) -> bool:
+        return len(self.tokens) >= SHARED or len(self.index) >= WORDS
+
+    def row(self, block: int) -> tuple:
+        h, index = xxhash.xxh64_intdigest, self.index
+        words = np.fromiter((h(w) for w in index), np.uint64, len(index)).view(np.int64)
+        ends = (np.fromiter((h(w[-3:]) for w in index), np.uint64, len(index)) % np.uint64(ENDINGS)).astype(np.int16)
+        return block, self.doc_id, self.held, self.n, self.docs, self.tokens, words, ends, self.seen
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, held)`` -> one row for each block."""
-    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n", pa.list_(pa.int32()))] + [(c, pa.binary()) for c in ("tokens", "words", "endings", "seen")])
+    """``docs(doc_id, text, held)`` -> one row for each vocabulary, with the blocks that share it."""
+    kinds = {"block": pa.int64(), "doc_id": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "n": pa.list_(pa.int32()), "docs": pa.list_(pa.int32()), "tokens": pa.list_(pa.binary()), "words": pa.list_(pa.int64()), "endings": pa.list_(pa.int16()), "seen": pa.list_(pa.int64())}
+    schema = pa.schema(list(kinds.items()))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, count, rows, room = TaskContext.get().partitionId() << 32, 0, [], BLOCK_CHARS
+        number, made = TaskContext.get().partitionId() << 32, Vocabulary()
+        waiting: tuple[list, list] = [], []
+        room = [BLOCK_CHARS, BLOCK_CHARS]
+
         for batch in it:
             for row in zip(*columns(batch, "doc_id", "text", "held"), strict=True):
-                rows.append(row)
-                room -= len(row[1] or "") + 50
-                if room < 0:
-                    yield from batches([(base + count, *encode(rows))], schema)
-                    count, rows, room = count + 1, [], BLOCK_CHARS
-        if rows:
-            yield from batches([(base + count, *encode(rows))], schema)
+                size = len(row[1] or "")
+                long = size > LONG_CHARS
+                waiting[long].append(row)
+                room[long] -= size + 50
+                if room[long] < 0:
+                    made.add(waiting[long])
+                    waiting[long].clear()
+                    room[long] = BLOCK_CHARS
+                    if made.full():
+                        yield from batches(iter([made.row(number)]), schema)
+                        number, made = number + 1, Vocabulary()
+        for rows in waiting:
+            if rows:
+                made.add(rows)
+        if made.tokens:
+            yield from batches(iter([made.row(number)]), schema)
 
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text", "held").mapInArrow(run, BLOCK)
@@ -109,7 +148,6 @@ def blocks(docs: DataFrame) -> DataFrame:
 class Counts(NamedTuple):
     """Totals of the training tokens, and what the classes need."""
 
-    shards: int
     tokens: int
     words: int
     own: np.ndarray  # hashes of the words with classes of their own, sorted
@@ -118,70 +156,22 @@ class Counts(NamedTuple):
 
 
 def count_words(made: DataFrame) -> tuple[Counts, DataFrame]:
-    """Training counts of all words: totals, and for each block its own words' counts by shard."""
-    spark = made.sparkSession
-    total = made.agg(F.sum(F.length("words"))).first()[0] or 0
-    shards = max(8, -(-total // (8 * SHARD_WORDS)))
-
-    def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("endings", pa.binary()), ("seen", pa.binary())])
-        for batch in it:
-            for block, words, endings, seen in zip(*columns(batch, "block", "words", "endings", "seen"), strict=True):
-                words, endings, seen = np.frombuffer(words, np.uint64), np.frombuffer(endings, np.uint16), np.frombuffer(seen, np.uint32)
-                shard = words % np.uint64(shards)
-                rows = ((int(s), block, *(x[at].tobytes() for x in (words, endings, seen))) for s in np.unique(shard) for at in [shard == s])
-                yield from batches(rows, schema, 256)
-
-    def add_up(group: pd.DataFrame) -> pd.DataFrame:
-        words = np.concatenate([np.frombuffer(x, np.uint64) for x in group["words"]])
-        endings = np.concatenate([np.frombuffer(x, np.uint16) for x in group["endings"]])
-        known, first, where = np.unique(words, return_index=True, return_inverse=True)
-        count = np.bincount(where, weights=np.concatenate([np.frombuffer(x, np.uint32) for x in group["seen"]]), minlength=len(known)).astype(np.int64)
-        ending, rows, at = endings[first], [], 0
-        shard = int(group["shard"].iloc[0])
-        for block, x in zip(group["block"], group["words"], strict=True):
-            n = len(x) // 8
-            rows.append((block, shard, count[where[at : at + n]].astype(np.uint32).tobytes(), None))
-            at += n
-        some = count > 0
-        mass = np.bincount(ending, weights=np.where(some, count + 1, 0), minlength=ENDINGS)
-        tokens, once = np.bincount(ending, weights=count, minlength=ENDINGS), np.bincount(ending, weights=count == 1, minlength=ENDINGS)
-        top = np.argsort(-count, kind="stable")[:OWN]
-        top = top[count[top] > 0]
-        best = np.stack([known[top].view(np.int64), count[top], ending[top].astype(np.int64)]) if len(top) else np.empty((3, 0), np.int64)
-        totals = np.concatenate([np.stack([mass, tokens, once]).astype(np.int64).ravel(), [int(count.sum()), int(some.sum())], best.ravel()])
-        rows.append((-1, shard, None, totals.tobytes()))
-        return pd.DataFrame(rows, columns=["block", "shard", "counts", "totals"])
-
-    small_batches(spark, 4)
-    dealt = made.select("block", "words", "endings", "seen").mapInArrow(deal, "shard int, block long, words binary, endings binary, seen binary")
-    summed = materialize(dealt.groupBy("shard").applyInPandas(add_up, "block long, shard int, counts binary, totals binary"), "hmm-counts")
-
-    def unpack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.int32()), ("at", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
-        for batch in it:
-            for (x,) in zip(*columns(batch, "totals"), strict=True):
-                x = np.frombuffer(x, np.int64)
-                by, rest = x[: 3 * ENDINGS].reshape(3, -1), x[3 * ENDINGS :]
-                best = rest[2:].reshape(3, -1)
-                yield from batches([*((0, k, *map(int, by[:, k])) for k in np.flatnonzero(by[0])), (1, 0, int(rest[0]), int(rest[1]), 0), *((2, *map(int, y), 0) for y in best.T)], schema)
-
-    facts = summed.where("totals is not null").mapInArrow(unpack, "kind int, at long, a long, b long, c long")
-    sums = facts.where("kind < 2").groupBy("kind", "at").agg(*[F.sum(x).cast("long").alias(x) for x in "abc"]).collect()  # ENDINGS rows and one
-    frequent = facts.where("kind = 2").orderBy(F.desc("a"), "at").limit(OWN).collect()
+    """Totals, and ``(word, ending, count)``: training counts of all words met."""
+    rows = made.select(F.explode(F.arrays_zip("words", "endings", "seen")).alias("w"))
+    summed = rows.groupBy(F.col("w.words").alias("word")).agg(F.first("w.endings").alias("ending"), F.sum("w.seen").alias("count"))
+    words = materialize(summed, "hmm-words")
+    known = words.where("count > 0")
+    sums = known.groupBy("ending").agg(F.sum(F.col("count") + 1).alias("mass"), F.sum("count").alias("tokens"), F.sum((F.col("count") == 1).cast("long")).alias("once"), F.count("*").alias("words")).collect()  # ENDINGS rows at most
+    frequent = known.orderBy(F.desc("count"), "word").limit(OWN).collect()
     mass, tokens, once = np.zeros(ENDINGS), np.zeros(ENDINGS), np.zeros(ENDINGS)
-    n = v = 0
     for r in sums:
-        if r["kind"]:
-            n, v = r["a"], r["b"]
-        else:
-            mass[r["at"]], tokens[r["at"]], once[r["at"]] = r["a"], r["b"], r["c"]
+        mass[r["ending"]], tokens[r["ending"]], once[r["ending"]] = r["mass"], r["tokens"], r["once"]
     for r in frequent:
-        mass[r["b"]] -= r["a"] + 1
-        tokens[r["b"]] -= r["a"]
-        once[r["b"]] -= r["a"] == 1
-    own = np.sort(np.array([r["at"] for r in frequent], np.int64).view(np.uint64))
-    return Counts(shards, n, v, own, mass, once / np.maximum(tokens, 1)), summed
+        mass[r["ending"]] -= r["count"] + 1
+        tokens[r["ending"]] -= r["count"]
+        once[r["ending"]] -= r["count"] == 1
+    own = np.sort(np.array([r["word"] for r in frequent], np.int64).view(np.uint64))
+    return Counts(sum(r["tokens"] for r in sums), sum(r["words"] for r in sums), own, mass, once / np.maximum(tokens, 1)), words
 
 
 UNKNOWN = OWN + ENDINGS
@@ -194,24 +184,27 @@ def classes(words: np.ndarray, endings: np.ndarray, counts: np.ndarray, own: np.
     return np.where(counts == 0, UNKNOWN, np.where(mine, at, OWN + endings.astype(np.int64))).astype(np.uint16)
 
 
-def with_counts(made: DataFrame, counts: Counts, summed: DataFrame) -> DataFrame:
-    """Blocks with the count and class of each of their words in place of the hashes."""
-    parts = summed.where("counts is not null").groupBy("block").agg(F.collect_list(F.struct("shard", "counts")).alias("parts"))
-    small_batches(made.sparkSession, 4)
-    names = ("block", "doc_id", "held", "n", "tokens", "words", "endings", "parts")
-    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n", pa.list_(pa.int32())), ("tokens", pa.binary()), ("count", pa.binary()), ("class", pa.binary())])
+def with_counts(made: DataFrame, counts: Counts, words: DataFrame) -> DataFrame:
+    """Blocks with the count and class of each word of their vocabulary in place of the hashes."""
+    met = made.select("block", F.posexplode("words").alias("at", "word")).join(words.select("word", "count"), "word")
+    told = met.groupBy("block").agg(F.collect_list(F.struct("at", "count")).alias("c")).select("block", F.col("c.at").alias("at"), F.col("c.count").alias("count"))
+    names = ("block", "doc_id", "held", "n", "docs", "tokens")
+    kinds = {"block": pa.int64(), "doc_id": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "n": pa.list_(pa.int32()), "docs": pa.list_(pa.int32()), "tokens": pa.list_(pa.binary()), "count": pa.binary(), "class": pa.binary()}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for block, ids, held, n, tokens, words, endings, parts in zip(*columns(batch, *names), strict=True):
-                words, endings = np.frombuffer(words, np.uint64), np.frombuffer(endings, np.uint16)
-                count, shard = np.zeros(len(words), np.uint32), words % np.uint64(counts.shards)
-                for p in parts:
-                    count[shard == p["shard"]] = np.frombuffer(p["counts"], np.uint32)
-                yield from batches([(block, ids, held, n, tokens, count.tobytes(), classes(words, endings, count, counts.own).tobytes())], schema)
+            made = []
+            for k in range(batch.num_rows):
+                words, endings, at, found = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(len(names), len(names) + 4))
+                count = np.zeros(len(words), np.int64)
+                count[at] = found
+                made.append((count.tobytes(), classes(words.view(np.uint64), endings, count, counts.own).tobytes()))
+            added = [pa.array(x, pa.binary()) for x in zip(*made, strict=True)]
+            yield pa.RecordBatch.from_arrays([c.cast(kind) for c, kind in zip([*batch.columns[: len(names)], *added], kinds.values(), strict=True)], names=list(kinds))
 
-    joined = made.drop("seen").join(parts, "block")
-    return joined.select(*names).mapInArrow(run, READY)
+    joined = made.drop("seen").join(told, "block").select(*names, "words", "endings", "at", "count")
+    small_batches(made.sparkSession, 2)
+    return joined.mapInArrow(run, READY)
 
 
 class Sequences(NamedTuple):
@@ -220,10 +213,11 @@ class Sequences(NamedTuple):
     start: np.ndarray
     length: np.ndarray
     owner: np.ndarray  # which text each belongs to
-    first: np.ndarray  # whether it begins its text
+    step: np.ndarray  # which part of its text
+    last: np.ndarray  # whether it is the text's last part
 
 
-def cut(n: np.ndarray, chunk: int = CHUNK) -> Sequences:
+def cut(n: np.ndarray, chunk: int) -> Sequences:
     """Texts laid end to end, of ``n`` tokens each, as sequences of ``chunk`` at most."""
     parts = -(-n // chunk)
     owner = np.repeat(np.arange(len(n)), parts)
@@ -231,7 +225,26 @@ def cut(n: np.ndarray, chunk: int = CHUNK) -> Sequences:
     start = np.repeat(np.cumsum(n) - n, parts) + step * chunk
     length = np.minimum(chunk, np.repeat(n, parts) - step * chunk)
     order = np.lexsort((start, -length))
-    return Sequences(start[order], length[order], owner[order], step[order] == 0)
+    return Sequences(start[order], length[order], owner[order], step[order], (step + 1 == np.repeat(parts, parts))[order])
+
+
+class Steps(NamedTuple):
+    """The tokens of sequences step by step: those of a step lie side by side, the longest sequence's first."""
+
+    at: np.ndarray  # token of each place
+    live: np.ndarray  # by step: how many sequences still run
+    first: np.ndarray  # by step: its first place
+
+
+def steps(seqs: Sequences) -> Steps:
+    longest = int(seqs.length.max(initial=0))
+    live = np.searchsorted(-seqs.length, -np.arange(longest), side="left")
+    first = np.cumsum(live) - live
+    rank = np.repeat(np.arange(len(seqs.length)), seqs.length)
+    t = np.arange(len(rank)) - np.repeat(np.cumsum(seqs.length) - seqs.length, seqs.length)
+    at = np.empty(len(rank), np.int64)
+    at[first[t] + rank] = seqs.start[rank] + t
+    return Steps(at, live, first)
 
 
 class Model:
@@ -255,72 +268,92 @@ class Model:
         full = np.hstack((kept * (1 - unknown)[:, None], unknown[:, None]))
         return cls((start + 0.1) / (start + 0.1).sum(), (move + 0.1) / (move + 0.1).sum(axis=1, keepdims=True), full)
 
-    def likelihood(self, classes: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The natural log of each text's probability, by the scaled forward recursion."""
-        seqs = cut(n)
-        out, k = np.zeros(len(n)), len(self.start)
-        whole, later = np.flatnonzero(seqs.first), np.flatnonzero(~seqs.first)
-        state = np.empty((len(whole), k))
-        at, length = seqs.start[whole], seqs.length[whole]
-        logs, live = np.zeros(len(whole)), len(whole)
-        for t in range(int(length.max(initial=0))):
-            while live and length[live - 1] <= t:
+    def through(self, classes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """For each sequence the scaled product of its matrices: from the state before it to the one at its end."""
+        k, order = len(self.start), np.argsort(-length, kind="stable")
+        at, left, live = start[order], length[order], len(order)
+        out = np.broadcast_to(np.eye(k), (live, k, k)).copy()
+        for t in range(int(left.max(initial=0))):
+            while live and left[live - 1] <= t:
                 live -= 1
-            b = self.emit[classes[at[:live] + t]]
-            x = (state[:live] @ self.move if t else self.start) * b
-            s = x.sum(axis=1)
-            state[:live] = x / s[:, None]
-            logs[:live] += np.log(s)
-        out[seqs.owner[whole]] = logs
+            x = (out[:live].reshape(-1, k) @ self.move).reshape(-1, k, k) * self.emit[classes[at[:live] + t]][:, None, :]
+            out[:live] = x / x.sum(axis=(1, 2))[:, None, None]
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+    def forward(self, emitted: np.ndarray, run: Steps, enter: np.ndarray, ahead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The scale of each place, and each sequence's state at its end; the states of all places go to ``ahead``."""
+        scale, state, one, move = np.empty(len(emitted)), enter.copy(), np.ones(len(self.start)), self.move
+        for t, (live, at) in enumerate(zip(run.live.tolist(), run.first.tolist(), strict=True)):
+            here = state[:live]
+            x = here @ move if t else here
+            x = x * emitted[at : at + live]
+            s = scale[at : at + live] = x @ one
+            np.divide(x, s[:, None], out=here)
+            if ahead is not None:
+                ahead[at : at + live] = here
+        return scale, state
+
+    def entering(self, classes: np.ndarray, seqs: Sequences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each sequence: the state before its first token, what the first token's is expected to be, and its product of matrices.
+
+        The state before is zero, and the product not made, where a text begins.
+        """
+        k, m = len(self.start), len(seqs.start)
+        before, matrices = np.zeros((m, k)), np.zeros((m, k, k))
+        later = np.flatnonzero(seqs.step)
         if len(later):
-            of = np.empty(len(n), np.int64)
-            of[seqs.owner[whole]] = np.arange(len(whole))
-            through = np.broadcast_to(np.eye(k), (len(later), k, k)).copy()
-            at, length = seqs.start[later], seqs.length[later]
-            logs, live = np.zeros(len(later)), len(later)
-            for t in range(int(length.max())):
-                while live and length[live - 1] <= t:
-                    live -= 1
-                x = (through[:live].reshape(-1, k) @ self.move).reshape(-1, k, k) * self.emit[classes[at[:live] + t]][:, None, :]
-                s = x.sum(axis=(1, 2))
-                through[:live] = x / s[:, None, None]
-                logs[:live] += np.log(s)
-            for j in np.argsort(at):  # a text's parts in order
-                i = of[seqs.owner[later[j]]]
-                x = state[i] @ through[j]
-                s = x.sum()
-                state[i] = x / s
-                out[seqs.owner[later[j]]] += np.log(s) + logs[j]
-        return out
-
-    def expected(self, classes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, moves and emissions (Baum-Welch) over the texts' parts."""
-        seqs = cut(n)
-        k, live = len(self.start), len(seqs.start)
-        ahead, scale = np.empty((len(classes), k)), np.empty(len(classes))
-        state = np.empty((live, k))
-        longest = int(seqs.length.max(initial=0))
-        active = np.searchsorted(-seqs.length, -np.arange(longest), side="left")
-        for t in range(longest):
-            live = active[t]
-            idx = seqs.start[:live] + t
-            x = (state[:live] @ self.move if t else self.start) * self.emit[classes[idx]]
-            s = x.sum(axis=1)
-            state[:live] = x / s[:, None]
-            ahead[idx], scale[idx] = state[:live], s
+            matrices[later] = self.through(classes, seqs.start[later], seqs.length[later])
+            first = np.flatnonzero((seqs.step == 0) & ~seqs.last)
+            some = Sequences(*(x[first] for x in seqs))
+            run = steps(some)
+            _, state = self.forward(self.emit[classes[run.at]], run, np.tile(self.start, (len(first), 1)))
+            ends = dict(zip(some.owner.tolist(), state, strict=True))
+            for j in later[np.lexsort((seqs.step[later], seqs.owner[later]))].tolist():  # a text's parts in order
+                before[j] = ends[int(seqs.owner[j])]
+                x = before[j] @ matrices[j]
+                ends[int(seqs.owner[j])] = x / x.sum()
+        enter = np.where((seqs.step == 0)[:, None], self.start, before @ self.move)
+        return before, enter, matrices
+
+    def likelihood(self, classes: np.ndarray, n: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+        """The natural log of each text's probability, by the scaled forward recursion."""
+        seqs = cut(n, chunk)
+        run = steps(seqs)
+        scale, _ = self.forward(self.emit[classes[run.at]], run, self.entering(classes, seqs)[1])
+        owner = np.repeat(np.arange(len(n)), n)
+        return np.bincount(owner[run.at], weights=np.log(scale), minlength=len(n))
+
+    def expected(self, classes: np.ndarray, n: np.ndarray, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of starts, moves and emissions (Baum-Welch)."""
+        seqs = cut(n, chunk)
+        run, k = steps(seqs), len(self.start)
+        kinds = classes[run.at]
+        emitted, ahead = self.emit[kinds], np.empty((len(classes), k))
+        before, enter, matrices = self.entering(classes, seqs)
+        scale, end = self.forward(emitted, run, enter, ahead)
         behind, moves = np.ones((len(seqs.start), k)), np.zeros((k, k))
-        for t in range(longest - 1, 0, -1):
-            live = active[t]
-            idx = seqs.start[:live] + t
-            before = ahead[idx - 1]
-            weight = self.emit[classes[idx]] * behind[:live] / scale[idx][:, None]
-            ahead[idx] *= behind[:live]
-            moves += before.T @ weight
-            behind[:live] = weight @ self.move.T
-        head = seqs.start
+        later = np.flatnonzero(seqs.step)
+        part = {(int(seqs.owner[j]), int(seqs.step[j])): j for j in np.flatnonzero(~seqs.last | (seqs.step > 0)).tolist()}
+        for j in later[np.lexsort((-seqs.step[later], seqs.owner[later]))].tolist():  # a text's parts from its end
+            i = part[int(seqs.owner[j]), int(seqs.step[j]) - 1]
+            x = matrices[j] @ behind[j]
+            behind[i] = x / (x @ end[i])
+        emitted /= scale[:, None]
+        live, first, back = run.live.tolist(), run.first.tolist(), np.ascontiguousarray(self.move.T)
+        for t in range(len(live) - 1, 0, -1):
+            m, at, then = live[t], first[t], first[t - 1]
+            mine = behind[:m]
+            weight = emitted[at : at + m] * mine
+            ahead[at : at + m] *= mine
+            moves += ahead[then : then + m].T @ weight
+            np.matmul(weight, back, out=mine)
+        head = slice(0, len(seqs.start))
+        moves += before.T @ (emitted[head] * behind)
         ahead[head] *= behind
-        start = ahead[head[seqs.first]].sum(axis=0)
-        emit = np.stack([np.bincount(classes, weights=ahead[:, j], minlength=UNKNOWN)[:UNKNOWN] for j in range(k)])
+        start = ahead[head][seqs.step == 0].sum(axis=0)
+        emit = np.stack([np.bincount(kinds, weights=ahead[:, j], minlength=UNKNOWN)[:UNKNOWN] for j in range(k)])
         return start, moves * self.move, emit
 
 
@@ -329,8 +362,13 @@ def chosen(classes: np.ndarray, n: np.ndarray, keep: np.ndarray) -> tuple[np.nda
     return classes[np.repeat(keep, n)], n[keep]
 
 
-def token_classes(tokens: bytes, classes: bytes) -> np.ndarray:
-    return np.frombuffer(classes, np.uint16)[unpack(tokens)].astype(np.int64)
+def parts(held: list, n: list, docs: list, tokens: list) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """The blocks of a row: which documents, whether each is held out, their lengths, their tokens."""
+    at = 0
+    for size, packed in zip(docs, tokens, strict=True):
+        here = slice(at, at + size)
+        yield here, np.array(held[here], bool), np.array(n[here], np.int64), unpack(packed)
+        at += size
 
 
 def train(ready: DataFrame, counts: Counts, rounds: int = ROUNDS, warm: int = WARM) -> Model:
@@ -338,13 +376,14 @@ def train(ready: DataFrame, counts: Counts, rounds: int = ROUNDS, warm: int = WA
     model = Model.random(counts)
     if not counts.tokens:
         return model
-    small_batches(ready.sparkSession, 4)
+    small_batches(ready.sparkSession, 2)
     first = ready.select("block").orderBy(F.xxhash64("block")).first()["block"]
-    for r in ready.where(F.col("block") == first).limit(1).collect():
-        held, n = np.array(r["held"], bool), np.array(r["n"], np.int64)
-        part = chosen(token_classes(r["tokens"], r["class"]), n, ~held)
-        for _ in range(warm if len(part[1]) else 0):
-            model = Model.estimated(*model.expected(*part), counts)
+    some = ready.where(F.col("block") == first).select("held", "n", F.slice("docs", 1, 1).alias("docs"), F.slice("tokens", 1, 1).alias("tokens"), "class")
+    for r in some.limit(1).collect():
+        for _, held, n, tokens in parts(r["held"], r["n"], r["docs"], r["tokens"]):
+            part = chosen(np.frombuffer(r["class"], np.uint16)[tokens].astype(np.int64), n, ~held)
+            for _ in range(warm if len(part[1]) else 0):
+                model = Model.estimated(*model.expected(*part), counts)
     for _ in range(rounds):
         model = Model.estimated(*gathered(ready, model), counts)
     return model
@@ -358,16 +397,19 @@ def gathered(ready: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((k, 1 + k + UNKNOWN))
         for batch in it:
-            for held, n, tokens, cls in zip(*columns(batch, "held", "n", "tokens", "class"), strict=True):
-                part = chosen(token_classes(tokens, cls), np.array(n, np.int64), ~np.array(held, bool))
-                if len(part[1]):
-                    start, moves, emit = model.expected(*part)
-                    sums += np.hstack((start[:, None], moves, emit))
+            for *row, cls in zip(*columns(batch, "held", "n", "docs", "tokens", "class"), strict=True):
+                cls = np.frombuffer(cls, np.uint16)
+                for _, held, n, tokens in parts(*row):
+                    part = chosen(cls[tokens].astype(np.int64), n, ~held)
+                    if len(part[1]):
+                        start, moves, emit = model.expected(*part)
+                        sums += np.hstack((start[:, None], moves, emit))
         some = np.flatnonzero(sums.any(axis=0))
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(row[some]) for row in sums)], schema=schema)
 
-    rows = ready.select("held", "n", "tokens", "class").mapInArrow(run, "at int, " + ", ".join(f"c{j} double" for j in range(k)))
+    small_batches(ready.sparkSession, 2)
+    rows = ready.select("held", "n", "docs", "tokens", "class").mapInArrow(run, "at int, " + ", ".join(f"c{j} double" for j in range(k)))
     sums = np.zeros((k, 1 + k + UNKNOWN))
     for r in rows.groupBy("at").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(k)]).collect():  # a row for each class
         sums[:, r["at"]] = r[1:]
@@ -381,19 +423,20 @@ def score(ready: DataFrame, counts: Counts, model: Model) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for ids, held, n, tokens, count, cls in zip(*columns(batch, "doc_id", "held", "n", "tokens", "count", "class"), strict=True):
-                n, tokens, count, kind = np.array(n, np.int64), unpack(tokens), np.frombuffer(count, np.uint32).astype(np.float64), np.frombuffer(cls, np.uint16).astype(np.int64)
-                starts = np.cumsum(n) - n
-                add = lambda x: np.add.reduceat(x[tokens], starts)  # noqa: B023, E731
-                base = add(np.log10((count + 1) / (counts.tokens + counts.words + 1)))
-                ends = (kind >= OWN) & (kind < UNKNOWN)
-                share = np.where(ends, np.log10((count + 1) / np.maximum(counts.mass[np.clip(kind - OWN, 0, ENDINGS - 1)], 1)), 0.0)
-                likely = model.likelihood(kind[tokens], n) / np.log(10) + add(share)
-                known = add((count > 0).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(n), pa.array(known), pa.array(np.full(len(n), counts.tokens)), pa.array(base), pa.array(likely)], schema=schema)
-
-    small_batches(ready.sparkSession, 4)
-    return ready.select("doc_id", "held", "n", "tokens", "count", "class").mapInArrow(run, out)
+            for ids, *row, count, cls in zip(*columns(batch, "doc_id", "held", "n", "docs", "tokens", "count", "class"), strict=True):
+                count, cls = np.frombuffer(count, np.int64).astype(np.float64), np.frombuffer(cls, np.uint16).astype(np.int64)
+                unigram = np.log10((count + 1) / (counts.tokens + counts.words + 1))
+                ends = (cls >= OWN) & (cls < UNKNOWN)
+                share = np.where(ends, np.log10((count + 1) / np.maximum(counts.mass[np.clip(cls - OWN, 0, ENDINGS - 1)], 1)), 0.0)
+                for here, held, n, tokens in parts(*row):
+                    starts = np.cumsum(n) - n
+                    add = lambda x: np.add.reduceat(x[tokens], starts)  # noqa: B023, E731
+                    likely = model.likelihood(cls[tokens], n) / np.log(10) + add(share)
+                    known = add((count > 0).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[here], pa.int64()), pa.array(held), pa.array(n), pa.array(known), pa.array(np.full(len(n), counts.tokens)), pa.array(add(unigram)), pa.array(likely)], schema=schema)
+
+    small_batches(ready.sparkSession, 2)
+    return ready.select("doc_id", "held", "n", "docs", "tokens", "count", "class").mapInArrow(run, out)
 
 
 def language_model(docs: DataFrame, held: str = "held", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -405,7 +448,7 @@ def language_model(docs: DataFrame, held: str = "held", key: str = "doc_id", tex
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(held), F.lit(False)).alias("held"))
     made = materialize(blocks(rows), "hmm-blocks")
-    counts, summed = count_words(made)
-    ready = materialize(with_counts(made, counts, summed), "hmm-ready")
-    release(made, summed)
+    counts, words = count_words(made)
+    ready = materialize(with_counts(made, counts, words), "hmm-ready")
+    release(made, words)
     return score(ready, counts, train(ready, counts))

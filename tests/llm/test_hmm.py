@@ -41,9 +41,11 @@ def plain(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [100, hmm.BLOCK_CHARS])
-def test_counts_and_base(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,shared,long", [(100, 1, 50), (2000, 3, 1000), (hmm.BLOCK_CHARS, hmm.SHARED, hmm.LONG_CHARS)])
+def test_counts_and_base(spark, monkeypatch, block, shared, long):
     monkeypatch.setattr(hmm, "BLOCK_CHARS", block)
+    monkeypatch.setattr(hmm, "SHARED", shared)
+    monkeypatch.setattr(hmm, "LONG_CHARS", long)
     rows = [(i, t, zlib.crc32(str(i).encode()) % 7 == 2) for i, t in enumerate(TEXTS * 3)] + [(None, "the null key", False), (1, TEXTS[1], False)]
     got = hmm.language_model(spark.createDataFrame(rows, "doc_id long, text string, held boolean")).collect()
     want = plain(rows)
@@ -54,6 +56,14 @@ def test_counts_and_base(spark, monkeypatch, block):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def test_a_very_long_text(spark, monkeypatch):
+    rows = [(1, "one two three four " * 30_000, False), (2, "one two three", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got = {r["doc_id"]: r for r in hmm.language_model(docs).collect()}
+    assert got[1]["n_tokens"] == 120_001 == got[1]["train_tokens"] and got[2]["n_known"] == 4
+    assert got[1]["base_score"] < got[1]["score"] <= 0
+
+
 def test_nothing_to_learn_from(spark):
     rows = [(1, "a b", True), (2, None, True)]
     got = hmm.language_model(spark.createDataFrame(rows, "doc_id long, text string, held boolean")).collect()
@@ -63,11 +73,11 @@ def test_nothing_to_learn_from(spark):
 
 
 def small_model(rng):
-    counts = hmm.Counts(1, 100, 50, np.arange(hmm.OWN, dtype=np.uint64), rng.integers(1, 9, hmm.ENDINGS).astype(float), rng.random(hmm.ENDINGS))
+    counts = hmm.Counts(100, 50, np.arange(hmm.OWN, dtype=np.uint64), rng.integers(1, 9, hmm.ENDINGS).astype(float), rng.random(hmm.ENDINGS))
     return hmm.Model.random(counts, 4)
 
 
-def test_likelihood_is_exact(monkeypatch):
+def test_likelihood_is_exact():
     rng = np.random.default_rng(0)
     model, n = small_model(rng), np.array([1, 7, 40, 3, 25])
     classes = rng.integers(0, hmm.UNKNOWN + 1, n.sum())
@@ -80,9 +90,8 @@ def test_likelihood_is_exact(monkeypatch):
             state /= state.sum()
         want.append(total)
         at += m
-    for chunk in (4, 10, 2048):
-        monkeypatch.setattr(hmm.cut, "__defaults__", (chunk,))
-        assert np.allclose(model.likelihood(classes, n), want, rtol=1e-10)
+    for chunk in (1, 4, 10, 2048):
+        assert np.allclose(model.likelihood(classes, n, chunk), want, rtol=1e-10)
 
 
 def test_expected_counts_by_enumeration():
@@ -105,9 +114,32 @@ def test_expected_counts_by_enumeration():
             if t:
                 np.add.at(moves, (paths[t - 1], paths[t]), p)
         at += m
-    got = model.expected(classes, n)
-    for a, b in zip(got, (start, moves, emit), strict=True):
-        assert np.allclose(a, b)
+    for chunk in (1, 2, 3, 100):
+        got = model.expected(classes, n, chunk)
+        for a, b in zip(got, (start, moves, emit), strict=True):
+            assert np.allclose(a, b)
+
+
+def test_a_cut_changes_no_count():
+    rng = np.random.default_rng(5)
+    model, n = small_model(rng), np.array([1, 300, 17, 64, 2, 128])
+    classes = rng.integers(0, hmm.UNKNOWN, n.sum())
+    whole = model.expected(classes, n)
+    for chunk in (1, 7, 64):
+        for a, b in zip(model.expected(classes, n, chunk), whole, strict=True):
+            assert np.allclose(a, b)
+
+
+def test_training_raises_the_likelihood(spark):
+    rng = np.random.default_rng(6)
+    model, n = small_model(rng), np.full(50, 40)
+    counts = hmm.Counts(100, 50, np.arange(hmm.OWN, dtype=np.uint64), rng.integers(1, 9, hmm.ENDINGS).astype(float), rng.random(hmm.ENDINGS))
+    classes = np.tile(np.repeat(np.arange(8), 5), 50) * 11
+    likely = []
+    for _ in range(6):
+        likely.append(model.likelihood(classes, n).sum())
+        model = hmm.Model.estimated(*model.expected(classes, n), counts)
+    assert likely == sorted(likely) and likely[-1] > likely[0] + 100
 
 
 def test_model_is_a_distribution():
