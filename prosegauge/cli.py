@@ -68,9 +68,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.command == "score":
             print("Warning: 'score' is deprecated and computes no score; use 'analyze' for the findings.", file=sys.stderr)
         docs = documents.scan_stdin(spark) if args.command == "stdin" else documents.scan_file(spark, args.file)
-        found = findings.findings(docs, rules.load(pack).patterns, lang=args.lang)
+        found = findings.matched(docs, rules.load(pack).patterns, lang=args.lang)
         form = "json" if args.command == "analyze" else args.format
-        text = reports.report(docs, found, form).first()["report"]
+        text = reports.report(found, form).first()["report"]
         print(json.dumps(json.loads(text), indent=2, ensure_ascii=False) if form == "json" else text)
     elif args.command == "rules":
         catalogue = pack / rules.CATEGORIES

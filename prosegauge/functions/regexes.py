@@ -81,9 +81,10 @@ def compiles(regex: str) -> bool:
     if spark is None:
         return True
     from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
 
     try:
         spark._jvm.java.util.regex.Pattern.compile(java)
-    except Py4JJavaError:
+    except (Py4JJavaError, PySparkException):  # PySpark translates the exceptions that it knows
         return False
     return True

@@ -1,17 +1,22 @@
 """Structural findings: rules matched over documents.
 
 One projection per rule pack, no shuffle: every rule is a literal expression, so
-it is compiled once, and its matches are an array within the row. A rule whose
+it is compiled once, and its matches are an array within the row. Counts, ranks
+and reports are made from that array, within the row too; findings become rows of
+their own only where these are asked for. A rule whose
 text asks for it is matched on the whole text, the others line by line. Order is
 kept as columns: rules in the order of the pack, matches by position.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.functions.regexes import to_java
+from prosegauge.functions import prose
+from prosegauge.functions.regexes import compiles, to_java
 from prosegauge.sources.rules import Pattern
 
 #: Pairs of noncharacters that set matches off; the first pair that a text doesn't hold is used.
@@ -20,6 +25,8 @@ MARKS = [("﷐", "﷑"), ("﷒", "﷓"), ("﷔", "﷕")]
 SPACE = "[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
 
 FINDING = "array<struct<matched_text:string,line_number:int>>"
+FIELDS = ("rule_ord", "match_ord", "pattern_name", "severity", "weight", "matched_text", "line_number")
+MATCHES = "array<struct<rule_ord:int,match_ord:int,pattern_name:string,severity:string,weight:double,matched_text:string,line_number:int>>"
 
 
 def lines(text: Column) -> Column:
@@ -70,34 +77,39 @@ def marked_rows(marked: Column, opening: str, closing: str) -> Column:
     return F.flatten(F.transform(F.split(marked, "\n"), starts))
 
 
-def findings(docs: DataFrame, patterns: list[Pattern], key: str = "doc_id", text: str = "text", lang: str = "auto") -> DataFrame:
-    """``key, rule_ord, match_ord, pattern_name, severity, weight, matched_text, line_number``.
+def matched(docs: DataFrame, patterns: list[Pattern], text: str = "text", lang: str = "auto", name: str = "matches") -> DataFrame:
+    """``docs`` with an array of all findings, in the order of rules and places.
 
     ``lang`` is taken and has no effect: all rules run on all texts. A null text
-    has no findings. Words of the pack are never matched.
+    has no findings. Words of the pack are never matched. A row is a document,
+    whatever its key; a column called ``name`` is replaced.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    by_rule = [
-        F.struct(
-            F.lit(k).alias("rule_ord"),
-            F.lit(p.name).alias("pattern_name"),
-            F.lit(p.severity).alias("severity"),
-            F.lit(float(p.weight)).alias("weight"),
-            (whole_text if p.is_multiline else per_line)(body, p.java_regex).alias("matches"),
-        )
-        for k, p in enumerate(patterns)
-    ]
-    if not by_rule:
-        return docs.select(key).limit(0).selectExpr(key, "0 rule_ord", "0 match_ord", "'' pattern_name", "'' severity", "0D weight", "'' matched_text", "0 line_number")
-    ruled = docs.select(key, F.explode(F.array(*by_rule)).alias("r")).where(F.size("r.matches") > 0)
-    matched = ruled.select(key, "r.*").select(key, "rule_ord", "pattern_name", "severity", "weight", F.posexplode("matches").alias("match_ord", "m"))
-    return matched.select(key, "rule_ord", "match_ord", "pattern_name", "severity", "weight", "m.matched_text", "m.line_number")
-
-
-def counted(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, match_count``, 0 for documents without findings."""
-    counts = found.groupBy(key).agg(F.count("*").alias("match_count"))
-    return docs.select(key).join(counts, key, "left").select(key, F.coalesce("match_count", F.lit(0)).alias("match_count"))
+
+    def one(k: int, p: Pattern) -> Column:
+        fixed = [F.lit(k).alias("rule_ord"), F.lit(p.name).alias("pattern_name"), F.lit(p.severity).alias("severity"), F.lit(float(p.weight)).alias("weight")]
+        found = (whole_text if p.is_multiline else per_line)(body, p.java_regex)
+        return F.transform(found, lambda m, j: F.struct(fixed[0], j.alias("match_ord"), *fixed[1:], m["matched_text"].alias("matched_text"), m["line_number"].alias("line_number")))
+
+    every = F.concat(*[one(k, p) for k, p in enumerate(patterns)]) if patterns else F.array()
+    return prose.settled(docs.withColumn(name, every.cast(MATCHES)))
+
+
+def findings(docs: DataFrame, patterns: list[Pattern], key: str = "doc_id", text: str = "text", lang: str = "auto") -> DataFrame:
+    """``key, rule_ord, match_ord, pattern_name, severity, weight, matched_text, line_number``, a row for each finding."""
+    rows = matched(docs.select(key, text), patterns, text, lang).select(key, F.explode("matches").alias("m"))
+    return rows.select(key, *[F.col(f"m.{f}").alias(f) for f in FIELDS])
+
+
+def counted(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``found(key, matches)`` -> ``key, match_count``, 0 for documents without findings."""
+    return found.select(key, F.size("matches").cast("bigint").alias("match_count"))
+
+
+def weighed(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, weight``: the sum of the weights, for documents that have findings."""
+    total = F.aggregate("matches", F.lit(0.0), lambda w, m: w + m["weight"])
+    return found.where(F.size("matches") > 0).select(key, total.alias("weight"))
 
 
 def over_target(counts: DataFrame, target: int = 0) -> DataFrame:
@@ -106,12 +118,19 @@ def over_target(counts: DataFrame, target: int = 0) -> DataFrame:
 
 
 def ignored(ignore: str) -> list[str]:
-    """The expressions of a list, one a line; # starts a remark."""
-    return [to_java(line.strip()) for line in ignore.splitlines() if line.strip() and not line.strip().startswith("#")]
+    """The expressions of a list, one a line; # starts a remark. One that doesn't compile is left out with a warning."""
+    out = []
+    for line in map(str.strip, ignore.splitlines()):
+        if line and not line.startswith("#"):
+            if compiles(line):
+                out.append(to_java(line))
+            else:
+                warnings.warn(f"not a regular expression, left out of the ignore list: {line}", stacklevel=2)
+    return out
 
 
 def suppressed(found: DataFrame, ignore: str) -> DataFrame:
-    """Findings less those whose text matches a line of ``ignore``."""
+    """Rows of findings less those whose text matches a line of ``ignore``."""
     for rule in ignored(ignore):
         found = found.where(~F.col("matched_text").rlike(rule))
     return found

@@ -28,15 +28,13 @@ def _section(title: str, body: Column) -> Column:
     return F.concat(F.lit(f"\n\n## {title}\n"), body)
 
 
-def rewrite(docs: DataFrame, found: DataFrame, categories: str, number: int, top: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, prompt`` for one round; with ``top`` the heaviest findings are also numbered."""
-    rows = docs.select(key, text).join(reports.as_json(docs, found, key), key)
+def rewrite(found: DataFrame, categories: str, number: int, top: bool = False, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``found(key, text, matches)`` -> ``key, prompt`` for one round; with ``top`` the heaviest findings are also numbered."""
     parts = [F.lit(f"Round: {number}\n\n{TASK}")]
     if top:
-        rows = rows.join(reports.summary(found, key=key), key, "left")
-        parts.append(_section("Heaviest findings", F.coalesce("summary", F.lit(NOTHING))))
-    parts += [_section("Findings as JSON", F.col("report")), _section("Categories", F.lit(categories)), _section("Text", F.col(text)), F.lit(f"\n\n{TASK}\n")]
-    return rows.select(key, F.concat(*parts).alias("prompt"))
+        parts.append(_section("Heaviest findings", F.when(F.size("matches") > 0, reports.summary()).otherwise(NOTHING)))
+    parts += [_section("Findings as JSON", reports.json_of()), _section("Categories", F.lit(categories)), _section("Text", F.col(text)), F.lit(f"\n\n{TASK}\n")]
+    return found.select(key, *keep, F.concat(*parts).alias("prompt"))
 
 
 def assess(pairs: DataFrame, key: str = "doc_id", original: str = "original", rewritten: str = "rewritten") -> DataFrame:

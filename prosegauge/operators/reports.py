@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosegauge.operators.findings import FIELDS as ALL
 from prosegauge.sources.rules import Category, Pattern, Ruleset
 
 TOP = 8
@@ -14,56 +17,61 @@ FIELDS = ("pattern_name", "severity", "weight", "matched_text", "line_number")
 TITLE = "# AI Slop Structural Match Report"
 
 
+def heaviest(matches: Column | str = "matches", k: int = TOP) -> Column:
+    """The ``k`` heaviest of an array of findings; equals stay in order of rule and place."""
+    ranked = F.transform(matches, lambda m: F.struct((-m["weight"]).alias("w"), m["rule_ord"].alias("r"), m["match_ord"].alias("o"), m.alias("m")))
+    return F.transform(F.slice(F.sort_array(ranked), 1, k), lambda x: x["m"])
+
+
 def top(found: DataFrame, k: int = TOP, key: str = "doc_id") -> DataFrame:
-    """Each document's ``k`` heaviest findings with their ``rank``; equals stay in order of rule and place."""
-    order = Window.partitionBy(key).orderBy(F.desc("weight"), "rule_ord", "match_ord")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """``found(key, matches)`` -> each document's ``k`` heaviest findings as rows, with their ``rank``."""
+    rows = found.select(key, F.posexplode(heaviest("matches", k)).alias("at", "m"))
+    return rows.select(key, *[F.col(f"m.{f}").alias(f) for f in ALL], (F.col("at") + 1).alias("rank"))
 
 
 def violations(found: DataFrame, k: int = TOP, key: str = "doc_id") -> DataFrame:
     """The heaviest findings by the names that a summary uses, with defaults for what is missing."""
-    return top(found, k, key).select(
-        key,
-        "rank",
-        F.coalesce("pattern_name", F.lit("pattern")).alias("type"),
-        F.coalesce("line_number", F.lit(0)).alias("line"),
-        F.coalesce("severity", F.lit("unknown")).alias("severity"),
-        F.coalesce("weight", F.lit(0.0)).alias("weight"),
-        F.coalesce("matched_text", F.lit("")).alias("matched_text"),
-    )
+    rows = found.select(key, F.posexplode(heaviest("matches", k)).alias("at", "m"))
+    return rows.select(key, (F.col("at") + 1).alias("rank"), *[v.alias(n) for n, v in named(F.col("m")).items()])
 
 
-def _gathered(docs: DataFrame, found: DataFrame, line: Column, order: list[str], key: str) -> DataFrame:
-    """``key, n, parts``: the lines of each document's findings in order; none for a document without."""
-    rows = F.sort_array(F.collect_list(F.struct(*order, line.alias("line"))))
-    parts = found.groupBy(key).agg(F.count("*").alias("n"), F.transform(rows, lambda r: r["line"]).alias("parts"))
-    empty = F.array().cast("array<string>")
-    return docs.select(key).join(parts, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("parts", empty).alias("parts"))
+def named(m: Column) -> dict[str, Column]:
+    """A finding by the names of a summary."""
+    return {
+        "type": F.coalesce(m["pattern_name"], F.lit("pattern")),
+        "line": F.coalesce(m["line_number"], F.lit(0)),
+        "severity": F.coalesce(m["severity"], F.lit("unknown")),
+        "weight": F.coalesce(m["weight"], F.lit(0.0)),
+        "matched_text": F.coalesce(m["matched_text"], F.lit("")),
+    }
 
 
-def weight(value: Column | str) -> Column:
-    return F.format_string("%.1f", value)
+def listed(item: Callable[[Column, Column], Column], matches: Column | str = "matches", sep: str = "") -> Column:
+    """Findings (of each: itself and its number from 1) as one text."""
+    return F.array_join(F.transform(matches, lambda m, k: item(m, k + 1)), sep)
 
 
-def markdown(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+def markdown(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, report``: a heading, the count, and an item for each finding."""
-    item = F.format_string("- **%s** (severity: %s, weight: %.1f)\n  - Line %d: %s\n\n", "pattern_name", "severity", "weight", "line_number", "matched_text")
-    head = F.concat(F.lit(f"{TITLE}\n\nMatches found: "), F.col("n").cast("string"), F.lit("\n\n"))
-    return _gathered(docs, found, item, ["rule_ord", "match_ord"], key).select(key, F.concat(head, F.array_join("parts", "")).alias("report"))
+    head = F.format_string(f"{TITLE}\n\nMatches found: %d\n\n", F.size("matches"))
+    item = lambda m, _: F.format_string("- **%s** (severity: %s, weight: %.1f)\n  - Line %d: %s\n\n", m["pattern_name"], m["severity"], m["weight"], m["line_number"], m["matched_text"])
+    return found.select(key, F.concat(head, listed(item)).alias("report"))
 
 
-def plain(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+def plain(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, report``: the count and a line for each finding."""
-    item = F.format_string("  [%s] %s (weight: %.1f) - Line %d: %s\n", "severity", "pattern_name", "weight", "line_number", "matched_text")
-    head = F.concat(F.lit("Structural matches found: "), F.col("n").cast("string"), F.lit("\n"))
-    return _gathered(docs, found, item, ["rule_ord", "match_ord"], key).select(key, F.concat(head, F.array_join("parts", "")).alias("report"))
+    head = F.format_string("Structural matches found: %d\n", F.size("matches"))
+    item = lambda m, _: F.format_string("  [%s] %s (weight: %.1f) - Line %d: %s\n", m["severity"], m["pattern_name"], m["weight"], m["line_number"], m["matched_text"])
+    return found.select(key, F.concat(head, listed(item)).alias("report"))
+
 
+def json_of(matches: Column | str = "matches") -> Column:
+    return F.to_json(F.transform(matches, lambda m: F.struct(*[m[f].alias(f) for f in FIELDS])))
 
-def as_json(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+
+def as_json(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, report``: the findings as a JSON array of objects."""
-    rows = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rule_ord", "match_ord", *FIELDS))).alias("rows"))
-    text = F.to_json(F.transform("rows", lambda r: F.struct(*[r[f].alias(f) for f in FIELDS])))
-    return docs.select(key).join(rows.select(key, text.alias("report")), key, "left").select(key, F.coalesce("report", F.lit("[]")).alias("report"))
+    return found.select(key, json_of().alias("report"))
 
 
 def read_json(made: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -73,33 +81,36 @@ def read_json(made: DataFrame, key: str = "doc_id") -> DataFrame:
     return made.select(key, F.posexplode(rows).alias("match_ord", "r")).select(key, "match_ord", "r.*")
 
 
-def report(docs: DataFrame, found: DataFrame, form: str = "text", key: str = "doc_id") -> DataFrame:
-    """``json``, ``markdown``, or text for any other name."""
-    return {"json": as_json, "markdown": markdown}.get(form, plain)(docs, found, key)
+def report(found: DataFrame, form: str = "text", key: str = "doc_id") -> DataFrame:
+    """``json``, ``markdown``, or text for any other name, of ``found(key, matches)``."""
+    return {"json": as_json, "markdown": markdown}.get(form, plain)(found, key)
+
+
+def summary(matches: Column | str = "matches", k: int = TOP) -> Column:
+    """The heaviest findings, numbered, as a prompt quotes them."""
 
+    def line(m: Column, rank: Column) -> Column:
+        v = named(m)
+        return F.format_string("%d. [%s] %s (weight %s) at line %d: %s", rank, v["severity"], v["type"], v["weight"].cast("string"), v["line"], v["matched_text"])
 
-def summary(found: DataFrame, k: int = TOP, key: str = "doc_id") -> DataFrame:
-    """``key, summary``: the heaviest findings, numbered, as a prompt quotes them."""
-    line = F.format_string("%d. [%s] %s (weight %s) at line %d: %s", "rank", "severity", "type", F.col("weight").cast("string"), "line", "matched_text")
-    rows = violations(found, k, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("rows"))
-    return rows.select(key, F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("summary"))
+    return listed(line, heaviest(matches, k), "\n")
 
 
-def delegate_context(docs: DataFrame, found: DataFrame, key: str = "doc_id", k: int = TOP) -> DataFrame:
+def delegate_context(found: DataFrame, key: str = "doc_id", k: int = TOP) -> DataFrame:
     """``key, context``: what another agent needs: the count, the heaviest findings and what to hand in."""
-    line = F.format_string("%d. [%s] %s line %d: %s", "rank", "severity", "type", "line", "matched_text")
-    counts = found.groupBy(key).agg(F.count("*").alias("n"))
-    rows = violations(found, k, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("rows"))
-    evidence = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
-    all_docs = docs.select(key).join(counts, key, "left").join(rows.select(key, evidence.alias("evidence")), key, "left")
+
+    def line(m: Column, rank: Column) -> Column:
+        v = named(m)
+        return F.format_string("%d. [%s] %s line %d: %s", rank, v["severity"], v["type"], v["line"], v["matched_text"])
+
     body = F.format_string(
         "# Context for a rewrite\n\nStructural findings: %d. They are evidence, not orders.\n\n%s\n\n"
         "Read the whole text, judge it by the semantic categories, and rewrite it whole; no substitution by pattern.\n"
         "Hand in the rewritten text, a new analysis of it, and a note on the counts before and after.\n",
-        F.coalesce("n", F.lit(0)),
-        F.coalesce("evidence", F.lit("")),
+        F.size("matches"),
+        listed(line, heaviest("matches", k), "\n"),
     )
-    return all_docs.select(key, body.alias("context"))
+    return found.select(key, body.alias("context"))
 
 
 def shown(x: float) -> str:

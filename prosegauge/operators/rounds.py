@@ -70,8 +70,8 @@ def run(docs: DataFrame, patterns: list[Pattern], rewriter: Rewriter, folder: st
         active = now.where(F.col("match_count") > target) if not (force and number == 1) else now
         if not active.limit(1).count():
             break
-        found = findings.findings(active, patterns, key, text)
-        asked = prompts.rewrite(active, found, categories, number, policy.top, key, text).join(active.select(key, text), key).withColumn("round", F.lit(number))
+        found = findings.matched(active.select(key, text), patterns, text)
+        asked = prompts.rewrite(found, categories, number, policy.top, key, text, (text,)).withColumn("round", F.lit(number))
         got = rewriter(asked)
         response = unfenced(F.col("response")) if policy.unfence else F.col("response")
         new = active.select(key, "match_count").withColumnRenamed("match_count", "before").join(got.select(key, response.alias("_new")), key, "left")

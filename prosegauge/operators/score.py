@@ -264,38 +264,66 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", ignore: str
     return out.withColumns({"guarded": guarded, "bwd_signal": label("bwd", F.col("banned_density")), "spv_signal": label("spv", F.col("structural_density")), "meta_signal": label("meta", F.col("meta_density"))})
 
 
+def _between(parts: Column) -> Column:
+    """What lies in marks, from a text cut at the opening ones: its text, where it starts and ends, its line."""
+    sizes = F.transform(parts, lambda p, k: F.struct((F.length(p) - (k > 0).cast("int")).alias("n"), (F.length(p) - F.length(F.replace(p, F.lit("\n")))).alias("feeds")))
+
+    def one(p: Column, k: Column, sizes: Column) -> Column:
+        none = F.struct(F.lit(0).alias("n"), F.lit(1).alias("feeds"))
+        before = F.aggregate(F.slice(sizes, F.lit(1), k + 1), none, lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), (a["feeds"] + x["feeds"]).alias("feeds")))
+        inside = F.substring_index(p, prose.CLOSE, 1)
+        return F.struct(inside.alias("text"), before["n"].alias("start"), (before["n"] + F.length(inside)).alias("stop"), before["feeds"].alias("line"))
+
+    return prose.let(sizes, lambda s: F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p, k: one(p, k, s)))
+
+
+PLACE = "array<struct<start:int,stop:int,component:string,category:string,severity:string,text:string,line:int,suggested_fix:string>>"
+
+
+def places(clean: Column, ignore: str = "") -> Column:
+    """An array of the words and phrases that count, with their places (``PLACE``), for all components."""
+    single, several = lexicon_phrases()
+    both = sorted({p.lower() for p in several})
+    fixes = {e.lower(): r for _, e, r in lexicon() if r}
+    known = F.create_map(*[F.lit(x) for pair in sorted(fixes.items()) for x in pair])
+    rules, out = ignored(ignore), []
+    for component, phrases in (("bwd", single + several), ("meta", META_PHRASES), ("spv", CLOSING + PROGRESS + IMAGINE)):
+
+        def told(m: Column) -> Column:
+            plain = F.regexp_replace(m["text"], r"\s+", " ")
+            heavy = plain.isin(both) if component == "bwd" else F.lit(False)  # noqa: B023
+            category = {"meta": F.lit("meta_commentary"), "spv": F.lit("structural_pattern")}.get(component, F.when(heavy, "banned_phrase").otherwise("banned_word"))  # noqa: B023
+            severity = F.when(heavy, "high").otherwise("medium")
+            return F.struct(m["start"].alias("start"), m["stop"].alias("stop"), F.lit(component).alias("component"), category.alias("category"), severity.alias("severity"), m["text"].alias("text"), m["line"].alias("line"), F.try_element_at(known, plain).alias("suggested_fix"))
+
+        marked = F.regexp_replace(clean, F.lit(spelled(phrases)), F.lit(f"{prose.OPEN}$0{prose.CLOSE}"))
+        found = prose.let(F.split(marked, prose.OPEN), _between)
+        for rule in rules:
+            found = F.filter(found, lambda m: ~F.regexp_replace(m["text"], r"\s+", " ").rlike(rule))  # noqa: B023
+        out.append(F.transform(found, told))
+    return F.concat(*out).cast(PLACE)
+
+
 def located(docs: DataFrame, key: str = "doc_id", text: str = "text", ignore: str = "") -> DataFrame:
     """Findings of words and phrases with their place: ``start``, ``stop`` (characters), ``line``.
 
     ``component`` is bwd, meta or spv; one place may be found for several.
     """
-    kinds = []
-    single, several = lexicon_phrases()
-    for component, category, severity, phrases in (("bwd", "banned_word", "medium", single), ("bwd", "banned_phrase", "high", several), ("meta", "meta_commentary", "medium", META_PHRASES), ("spv", "structural_pattern", "medium", CLOSING + PROGRESS + IMAGINE)):
-        kinds.append((component, category, severity, phrases))
-    both = {p.lower() for p in several}
     base = docs.select(key, prose.clean(prose.prose(F.col(text))).alias("clean"))
-    out = None
-    for component in ("bwd", "meta", "spv"):
-        mine = [(c, s, p) for k, c, s, ps in kinds if k == component for p in ps]
-        rx = spelled([p for _, _, p in mine])
-        parts = F.split(F.regexp_replace("clean", F.lit(rx), F.lit(f"{prose.OPEN}$0{prose.CLOSE}")), prose.OPEN)
-        cut = base.select(key, "clean", parts.alias("parts"))
-        cut = cut.withColumn("sizes", F.transform("parts", lambda p, k: F.struct((F.length(p) - (k > 0).cast("int")).alias("n"), (F.length(p) - F.length(F.replace(p, F.lit("\n")))).alias("feeds"))))
-        rows = cut.select(key, "sizes", F.posexplode("parts").alias("k", "part")).where("k > 0")
-        before = F.aggregate(F.slice("sizes", F.lit(1), F.col("k")), F.struct(F.lit(0).alias("n"), F.lit(1).alias("feeds")), lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), (a["feeds"] + x["feeds"]).alias("feeds")))
-        found = F.substring_index("part", prose.CLOSE, 1)
-        rows = rows.select(key, before.alias("b"), found.alias("text"))
-        category = F.lit(mine[0][0]) if component != "bwd" else F.when(F.regexp_replace("text", r"\s+", " ").isin(sorted(both)), "banned_phrase").otherwise("banned_word")
-        one = rows.select(key, F.lit(component).alias("component"), category.alias("category"), "text", F.col("b.n").alias("start"), (F.col("b.n") + F.length("text")).alias("stop"), F.col("b.feeds").alias("line"))
-        out = one if out is None else out.unionByName(one)
-    fixes = {e.lower(): r for _, e, r in lexicon() if r}
-    known = F.create_map(*[F.lit(x) for pair in sorted(fixes.items()) for x in pair])
-    fix = F.try_element_at(known, F.regexp_replace("text", r"\s+", " "))
-    severity = F.when(F.col("category") == "banned_phrase", "high").otherwise("medium")
-    for rule in ignored(ignore):
-        out = out.where(~F.regexp_replace("text", r"\s+", " ").rlike(rule))
-    return out.select(key, "component", "category", severity.alias("severity"), "text", "start", "stop", "line", fix.alias("suggested_fix"))
+    rows = base.select(key, F.explode(places(F.col("clean"), ignore)).alias("p"))
+    return rows.select(key, *[F.col(f"p.{f}").alias(f) for f in ("component", "category", "severity", "text", "start", "stop", "line", "suggested_fix")])
+
+
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Places that count both as meta commentary and as a structural habit: ``key``, both places, the line."""
+    base = prose.settled(docs.select(key, prose.clean(prose.prose(F.col(text))).alias("clean")).select(key, places(F.col("clean")).alias("p")))
+    meta, habit = F.filter("p", lambda x: x["component"] == "meta"), F.filter("p", lambda x: x["component"] == "spv")
+
+    def met(m: Column) -> Column:
+        over = F.filter(habit, lambda h: (m["start"] < h["stop"]) & (h["start"] < m["stop"]))
+        return F.transform(over, lambda h: F.struct(m["start"].alias("meta_start"), m["stop"].alias("meta_stop"), h["start"].alias("spv_start"), h["stop"].alias("spv_stop"), m["line"].alias("line")))
+
+    return base.select(key, F.explode(F.flatten(F.transform(meta, met))).alias("x")).select(key, "x.*")
 
 
 def spelled(phrases: list[str]) -> str:
@@ -309,7 +337,9 @@ def spelled(phrases: list[str]) -> str:
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", ignore: str = "") -> DataFrame:
     """``key, report``: one nested record for each document, with enough counts to compute the score by hand."""
-    found = located(docs, key, text, ignore).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "component", "category", "severity", "text", "line", "suggested_fix"))).alias("found"))
+    # the findings go along with the key, so that neither is read or joined again
+    placed = F.sort_array(places(prose.clean(prose.prose(F.col(text))), ignore))
+    carried = docs.select(F.struct(F.col(key).alias("key"), placed.alias("found")).alias("_row"), F.col(text).alias("text"))
     names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
     finding = lambda f: F.struct(F.array(f["start"], f["stop"]).alias("span"), f["line"].alias("line"), f["category"].alias("category"), f["severity"].alias("severity"), f["text"].alias("text"), f["suggested_fix"].alias("suggested_fix"), F.try_element_at(names, f["component"]).alias("component"))
     r4 = lambda x: F.round(F.col(x), 4).alias
@@ -321,8 +351,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", ignore: str
         "md": [r4("bullet_ratio")("bullet_ratio"), r4("heading_ratio")("heading_ratio"), r4("table_ratio")("table_ratio"), r4("emphasis_density")("emphasis_density_per_1000_words")],
     }
     made = F.struct(*[F.struct(F.lit(WEIGHTS[n]).alias("weight"), r4(n)("score"), *parts[n]).alias(NAMES[n]) for n in WEIGHTS])
-    joined = scored(docs, key, text, ignore).join(found, key, "left")
-    empty = F.array().cast("array<struct<start:int,stop:int,component:string,category:string,severity:string,text:string,line:int,suggested_fix:string>>")
+    made_of = scored(carried, "_row", "text", ignore)
     record = F.struct(
         F.lit("0.1.0").alias("version"),
         F.col("score").alias("slop_score"),
@@ -330,6 +359,6 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", ignore: str
         F.col("w").alias("word_count"),
         F.col("s").alias("sentence_count"),
         made.alias("components"),
-        F.transform(F.coalesce("found", empty), finding).alias("findings"),
+        F.transform("_row.found", finding).alias("findings"),
     )
-    return joined.select(key, record.alias("report"))
+    return made_of.select(F.col("_row.key").alias(key), record.alias("report"))

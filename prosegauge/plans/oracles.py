@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import regex
+
 from prosegauge.functions import prose
-from prosegauge.operators import score
+from prosegauge.operators import prompts, score
 from prosegauge.sources import rules
 from prosegauge.sources.documents import DECORATED
 
@@ -189,6 +191,74 @@ def scored(select: str, view: str = DECORATED_VIEW) -> str:
     return with_(view, *component_parts()) + select
 
 
+EDGE = r"[\p{L}\p{M}\p{N}]"
+
+
+def placed_parts() -> list[str]:
+    """CTEs up to ``placed``: a row for each word or phrase that counts, where it stands in ``cleaned``."""
+    single, several = score.lexicon_phrases()
+    out = []
+    for component, phrases in (("bwd", single + several), ("meta", score.META_PHRASES), ("spv", score.CLOSING + score.PROGRESS + score.IMAGINE)):
+        spelled = sorted({"[\\s-]+".join(regex.findall(prose.WORD, p.lower().replace("’", "'"))) for p in phrases}, key=lambda f: (-f.count("+"), -len(f), f))
+        cut = f"SELECT doc_id, string_split(regexp_replace(clean, {q('(' + '|'.join(spelled) + ')')}, {O} || '\\1' || {C}, 'g'), {O}) AS p FROM cleaned"
+        rows = f"SELECT doc_id, p, unnest(range(2, len(p) + 1)) AS i FROM ({cut})"
+        parts = f"string_split(p[i], {C})[1] AS text, replace(array_to_string(p[1:i-1], ''), {C}, '') AS head, array_to_string(string_split(array_to_string(p[i:], ''), {C})[2:], '') AS tail"
+        out.append(f"SELECT doc_id, '{component}' AS component, {parts} FROM ({rows})")
+    heavy = in_list(sorted({p.lower() for p in several}))
+    fixes = values("entry, fix", sorted({(e.lower(), r) for _, e, r in rules.lexicon() if r}))
+    return [
+        "hits AS (" + "\nUNION ALL ".join(out) + ")",
+        f"whole AS (SELECT *, regexp_replace(text, '\\s+', ' ', 'g') AS plain FROM hits WHERE NOT regexp_matches(head, {q(EDGE + chr(39) + '?$')}) AND NOT regexp_matches(tail, {q('^' + chr(39) + '?' + EDGE)}))",
+        f"fixes AS ({fixes})",
+        f"""placed AS (SELECT doc_id, component, CASE component WHEN 'meta' THEN 'meta_commentary' WHEN 'spv' THEN 'structural_pattern' ELSE CASE WHEN plain IN {heavy} THEN 'banned_phrase' ELSE 'banned_word' END END AS category,
+  CASE WHEN component = 'bwd' AND plain IN {heavy} THEN 'high' ELSE 'medium' END AS severity, text, CAST(length(head) AS INT) AS start, CAST(length(head) + length(text) AS INT) AS stop,
+  CAST(1 + length(head) - length(replace(head, chr(10), '')) AS INT) AS line, fix AS suggested_fix FROM whole LEFT JOIN fixes ON plain = entry)""",
+    ]
+
+
+# The components' names in a report.
+LONG_NAMES = {"bwd": "banned_word_density", "spv": "structural_pattern_violations", "rhy": "rhythm_monotony", "meta": "meta_commentary_density", "md": "markdown_overuse"}
+
+
+def report_rows() -> str:
+    """What a report holds, without its JSON."""
+    long = "CASE component " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LONG_NAMES.items()) + " END"
+    told = f"told_of AS (SELECT doc_id, string_agg(start || '-' || stop || ' ' || line || ' ' || category || ' ' || severity || ' ' || {long} || ' ' || text || ' ' || coalesce(suggested_fix, '-'), ';' ORDER BY start, stop, component) AS findings FROM placed GROUP BY doc_id)"
+    rounded = ", ".join(f"round({x}, 4) AS {x}" for x in ("bwd", "spv", "rhy", "meta", "md", "banned_density", "cv", "meta_density", "bullet_ratio", "emphasis_density"))
+    select = f"SELECT doc_id, '0.1.0' AS version, score AS slop_score, band, w AS word_count, s AS sentence_count, {rounded}, allowed_roadmap, coalesce(findings, '') AS findings FROM banded LEFT JOIN told_of USING (doc_id)"
+    return with_(DECORATED_VIEW, *component_parts(), *placed_parts(), told) + select
+
+
+LINKED = "CASE WHEN doc_id % 3 = 0 THEN 'In conclusion,  let''s explore it.' || chr(10) || text || chr(10) || 'To summarize: let''s dive in.' ELSE text END"
+LINKED_VIEW = f"docs AS (SELECT doc_id, lang, {LINKED} AS text FROM documents)"
+
+
+def listing_rows(categories: list[tuple]) -> str:
+    """The lines of the rule listing up to their descriptions, from the fixed values and the word table."""
+    shown = lambda x: str(int(x)) if x == int(x) else repr(x)
+    words = word_rows()
+    lines = [f"Loaded {len(RULES)} banned patterns", f"Loaded {len(words)} banned words", f"Loaded {len(categories)} agent patterns", "", "Banned Patterns:"]
+    lines += [f"  - {name} (scope: universal, severity: {severity}, weight: {shown(weight)}" for name, severity, weight, _, _ in RULES]
+    lines += ["", "Banned Words:"]
+    lines += [f"  - {word} (replacement: {'None' if fix is None else 'Some(' + chr(34) + fix + chr(34) + ')'}, weight: {shown(weight)})" for _, word, fix, weight in words]
+    lines += ["", "Agent Patterns:"]
+    lines += [f"  - {name} (severity: {severity}, weight: {shown(weight)}, examples: {n}" for name, severity, weight, n in categories]
+    return values("line_number, line", [(k, x) for k, x in enumerate(lines)])
+
+
+def prompt_rows() -> str:
+    """The prompts of the first round, the findings' JSON put together by hand."""
+    json = """'{"pattern_name":' || to_json(pattern_name) || ',"severity":' || to_json(severity) || ',"weight":' || CAST(weight AS VARCHAR) || ',"matched_text":' || to_json(matched_text) || ',"line_number":' || line_number || '}'"""
+    top = "rank || '. [' || severity || '] ' || pattern_name || ' (weight ' || CAST(weight AS VARCHAR) || ') at line ' || line_number || ': ' || matched_text"
+    part = lambda title, body: f"chr(10) || chr(10) || '## {title}' || chr(10) || {body}"
+    sections = [part("Heaviest findings", f"coalesce(listed, {q(prompts.NOTHING)})"), part("Findings as JSON", "'[' || coalesce(found_json, '') || ']'"), part("Categories", q(rules.raw_categories())), part("Text", "text")]
+    body = " || ".join([f"'Round: 1' || chr(10) || chr(10) || {q(prompts.TASK)}", *sections, f"chr(10) || chr(10) || {q(prompts.TASK)} || chr(10)"])
+    return found() + f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, rule_ord, match_ord) AS rank FROM found),
+ heaviest AS (SELECT doc_id, string_agg({top}, chr(10) ORDER BY rank) AS listed FROM ranked WHERE rank <= 8 GROUP BY doc_id),
+ all_found AS (SELECT doc_id, string_agg({json}, ',' ORDER BY rule_ord, match_ord) AS found_json FROM found GROUP BY doc_id)
+ SELECT doc_id, {body} AS prompt FROM docs LEFT JOIN heaviest USING (doc_id) LEFT JOIN all_found USING (doc_id)"""
+
+
 def values(columns: str, rows: list[tuple]) -> str:
     def cell(x: object) -> str:
         if x is None:

@@ -44,6 +44,10 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.findings(documents.decorated(spark, sf_dir), pack().patterns)
 
 
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.matched(documents.decorated(spark, sf_dir), pack().patterns)
+
+
 def r4(*names: str):
     return [F.round(F.col(x), 4).alias(x) for x in names]
 
@@ -102,8 +106,7 @@ def findings_pages(spark, sf_dir):
 
 @query("match_count_per_doc", sql.found() + "SELECT doc_id, count(rule_ord) AS match_count FROM docs LEFT JOIN found USING (doc_id) GROUP BY doc_id")
 def match_count_per_doc(spark, sf_dir):
-    docs = documents.decorated(spark, sf_dir)
-    return findings.counted(docs, findings.findings(docs, pack().patterns))
+    return findings.counted(matched(spark, sf_dir))
 
 
 @query("count_by_pattern", sql.found() + "SELECT pattern_name, count(*) AS matches, count(DISTINCT doc_id) AS docs FROM found GROUP BY pattern_name")
@@ -118,7 +121,7 @@ def count_by_severity(spark, sf_dir):
 
 @query("weight_sum_per_doc", sql.found() + "SELECT doc_id, sum(weight) AS weight FROM found GROUP BY doc_id")
 def weight_sum_per_doc(spark, sf_dir):
-    return found(spark, sf_dir).groupBy("doc_id").agg(F.sum("weight").alias("weight"))
+    return findings.weighed(matched(spark, sf_dir))
 
 
 @query("docs_over_target", sql.found() + "SELECT doc_id, count(*) AS match_count FROM found GROUP BY doc_id HAVING count(*) > 2")
@@ -128,12 +131,12 @@ def docs_over_target(spark, sf_dir):
 
 @query("docs_with_findings", sql.found() + "SELECT doc_id, lang FROM docs WHERE doc_id IN (SELECT doc_id FROM found)")
 def docs_with_findings(spark, sf_dir):
-    return documents.decorated(spark, sf_dir).join(found(spark, sf_dir), "doc_id", "left_semi").select("doc_id", "lang")
+    return matched(spark, sf_dir).where(F.size("matches") > 0).select("doc_id", "lang")
 
 
 @query("clean_docs", sql.found() + "SELECT doc_id, lang FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM found)")
 def clean_docs(spark, sf_dir):
-    return documents.decorated(spark, sf_dir).join(found(spark, sf_dir), "doc_id", "left_anti").select("doc_id", "lang")
+    return matched(spark, sf_dir).where(F.size("matches") == 0).select("doc_id", "lang")
 
 
 @query("slopignore_filter", sql.found() + f"SELECT {sql.COLUMNS} FROM found WHERE NOT regexp_matches(matched_text, '^- ') AND NOT regexp_matches(matched_text, 'planning')")
@@ -148,7 +151,7 @@ _RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY
 
 @query("top8_violations", sql.found() + f', {_RANKED} SELECT doc_id, CAST(rank AS INT) AS rank, pattern_name AS type, line_number AS line, severity, weight, matched_text FROM ranked WHERE rank <= 8')
 def top8_violations(spark, sf_dir):
-    return reports.violations(found(spark, sf_dir))
+    return reports.violations(matched(spark, sf_dir))
 
 
 _TEXT_LINE = "'  [' || severity || '] ' || pattern_name || ' (weight: ' || printf('%.1f', weight) || ') - Line ' || line_number || ': ' || matched_text || chr(10)"
@@ -162,22 +165,18 @@ def _report_sql(head: str, line: str) -> str:
 
 @query("report_text", _report_sql("'Structural matches found: ' || coalesce(n, 0) || chr(10)", _TEXT_LINE))
 def report_text(spark, sf_dir):
-    docs = documents.decorated(spark, sf_dir)
-    return reports.plain(docs, findings.findings(docs, pack().patterns))
+    return reports.plain(matched(spark, sf_dir))
 
 
 @query("report_markdown", _report_sql("'# AI Slop Structural Match Report' || chr(10) || chr(10) || 'Matches found: ' || coalesce(n, 0) || chr(10) || chr(10)", _MD_LINE))
 def report_markdown(spark, sf_dir):
-    docs = documents.decorated(spark, sf_dir)
-    return reports.markdown(docs, findings.findings(docs, pack().patterns))
+    return reports.markdown(matched(spark, sf_dir))
 
 
 @query("report_json", sql.found() + "SELECT doc_id, pattern_name, severity, weight, matched_text, line_number FROM found")
 def report_json(spark, sf_dir):
     """The JSON text, read back: the spacing of JSON differs between engines."""
-    docs = documents.decorated(spark, sf_dir)
-    made = reports.as_json(docs, findings.findings(docs, pack().patterns))
-    return reports.read_json(made).drop("match_ord")
+    return reports.read_json(reports.as_json(matched(spark, sf_dir))).drop("match_ord")
 
 
 _SUMMARY = "'. [' || severity || '] ' || pattern_name"
@@ -185,17 +184,18 @@ _SUMMARY = "'. [' || severity || '] ' || pattern_name"
 
 @query("delegate_context", sql.found() + f", {_RANKED}, top AS (SELECT doc_id, string_agg(rank || {_SUMMARY} || ' line ' || line_number || ': ' || matched_text, chr(10) ORDER BY rank) AS e FROM ranked WHERE rank <= 8 GROUP BY doc_id), counts AS (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id) SELECT doc_id, CAST(coalesce(n, 0) AS INT) AS n, coalesce(e, '') AS evidence FROM docs LEFT JOIN top USING (doc_id) LEFT JOIN counts USING (doc_id)")
 def delegate_context(spark, sf_dir):
-    docs = documents.decorated(spark, sf_dir)
-    made = reports.delegate_context(docs, findings.findings(docs, pack().patterns))
+    made = reports.delegate_context(matched(spark, sf_dir))
     parts = F.split("context", "\n\n")
     body = F.array_join(F.slice(parts, F.lit(3), F.size(parts) - 3), "\n\n")
     return made.select("doc_id", F.regexp_extract("context", r"findings: (\d+)\.", 1).cast("int").alias("n"), body.alias("evidence"))
 
 
-@query("rules_listing")
+@query("rules_listing", sql.listing_rows(CATEGORIES))
 def rules_listing(spark, sf_dir):
+    """The lines up to notes and descriptions, which are free text."""
     lines = reports.listing(pack(), rules.load_categories()).splitlines()
-    return spark.createDataFrame(list(enumerate(lines)), "line_number long, line string")
+    listed = spark.createDataFrame(list(enumerate(lines)), "line_number int, line string")
+    return listed.withColumn("line", F.regexp_replace("line", r"(?:, note: .*)?, description: .*$", ""))
 
 
 # Views of the text
@@ -252,8 +252,8 @@ def slop_score_raw(spark, sf_dir):
 
 @query("band_distribution", sql.scored("SELECT lang, band, count(*) AS docs, sum(score) AS total FROM banded JOIN docs USING (doc_id) GROUP BY ROLLUP (lang, band)"))
 def band_distribution(spark, sf_dir):
-    docs = documents.decorated(spark, sf_dir)
-    return scored(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").rollup("lang", "band").agg(F.count("*").alias("docs"), F.sum("score").alias("total"))
+    docs = documents.decorated(spark, sf_dir).select(F.struct("doc_id", "lang").alias("row"), "text")
+    return score.scored(docs, "row").select("row.lang", "band", "score").rollup("lang", "band").agg(F.count("*").alias("docs"), F.sum("score").alias("total"))
 
 
 @query("guardrail", sql.scored("SELECT doc_id, score, array_to_string(list_filter(['bwd', 'spv', 'rhy', 'meta', 'md'], lambda n: CASE n WHEN 'bwd' THEN bwd WHEN 'spv' THEN spv WHEN 'rhy' THEN rhy WHEN 'meta' THEN meta ELSE md END >= 0.8), ',') AS guarded FROM banded WHERE greatest(bwd, spv, rhy, meta, md) >= 0.8"))
@@ -334,23 +334,48 @@ def ending_repeats(spark, sf_dir):
     return _sentence_rows(spark, sf_dir).groupBy("doc_id", "ending").agg(F.count("*").alias("n")).where("n >= 2")
 
 
-@query("score_findings")
+_PLACED = "doc_id, component, category, severity, text, start, stop, line, suggested_fix"
+
+
+@query("score_findings", sql.with_(sql.DECORATED_VIEW, *sql.VIEWS, *sql.placed_parts()) + f"SELECT {_PLACED} FROM placed")
 def score_findings(spark, sf_dir):
     return score.located(documents.decorated(spark, sf_dir))
 
 
-@query("meta_spv_links")
+def linked_docs(spark, sf_dir) -> DataFrame:
+    """Documents of which a third have phrases that count for both."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", F.expr(sql.LINKED.replace("chr(10)", "char(10)").replace("''", "\\'")).alias("text"))
+
+
+@query("meta_spv_links", sql.with_(sql.LINKED_VIEW, *sql.VIEWS, *sql.placed_parts()) + "SELECT m.doc_id, m.start AS meta_start, m.stop AS meta_stop, h.start AS spv_start, h.stop AS spv_stop, m.line FROM placed m JOIN placed h ON m.doc_id = h.doc_id AND m.component = 'meta' AND h.component = 'spv' AND m.start < h.stop AND h.start < m.stop")
 def meta_spv_links(spark, sf_dir):
     """Places that count both as meta commentary and as a structural habit."""
-    rows = score.located(documents.decorated(spark, sf_dir))
-    meta = rows.where("component = 'meta'").select("doc_id", F.col("start").alias("meta_start"), F.col("stop").alias("meta_stop"), "line")
-    spv = rows.where("component = 'spv'").select("doc_id", F.col("start").alias("spv_start"), F.col("stop").alias("spv_stop"))
-    return meta.join(spv, "doc_id").where("meta_start < spv_stop and spv_start < meta_stop")
+    return score.links(linked_docs(spark, sf_dir))
 
 
-@query("score_report")
+@query("score_report", sql.report_rows())
 def score_report(spark, sf_dir):
-    return score.report(documents.decorated(spark, sf_dir)).select("doc_id", F.to_json("report").alias("report"))
+    """The JSON text, read back: the spacing of JSON differs between engines."""
+    made = score.report(documents.decorated(spark, sf_dir))
+    back = prose.settled(made.select("doc_id", F.from_json(F.to_json("report"), made.schema["report"].dataType).alias("r")))
+    part = {n: F.col(f"r.components.{long}") for n, long in score.NAMES.items()}
+    told = lambda f: F.concat_ws(" ", F.concat_ws("-", f["span"][0], f["span"][1]), f["line"], f["category"], f["severity"], f["component"], f["text"], F.coalesce(f["suggested_fix"], F.lit("-")))
+    return back.select(
+        "doc_id",
+        "r.version",
+        "r.slop_score",
+        "r.band",
+        "r.word_count",
+        "r.sentence_count",
+        *[part[n]["score"].alias(n) for n in part],
+        part["bwd"]["density_per_1000_words"].alias("banned_density"),
+        part["rhy"]["coefficient_of_variation"].alias("cv"),
+        part["meta"]["density_per_1000_words"].alias("meta_density"),
+        part["md"]["bullet_ratio"].alias("bullet_ratio"),
+        part["md"]["emphasis_density_per_1000_words"].alias("emphasis_density"),
+        part["meta"]["allowed_roadmap"].alias("allowed_roadmap"),
+        F.array_join(F.transform("r.findings", told), ";").alias("findings"),
+    )
 
 
 @query("score_from_components", "SELECT CAST(39 AS INT) AS score, 'noticeable' AS band")
@@ -424,10 +449,9 @@ def round_delta(spark, sf_dir):
     return rounds.deltas(_loop(spark, sf_dir)[1])
 
 
-@query("rewrite_prompts")
+@query("rewrite_prompts", sql.prompt_rows())
 def rewrite_prompts(spark, sf_dir):
-    docs = documents.decorated(spark, sf_dir)
-    return prompts.rewrite(docs, findings.findings(docs, pack().patterns), rules.raw_categories(), 1, top=True)
+    return prompts.rewrite(matched(spark, sf_dir), rules.raw_categories(), 1, top=True)
 
 
 @query("clean_responses", "SELECT doc_id, regexp_replace(text, '^[\\t-\\r ]+|[\\t-\\r ]+$', '', 'g') AS response FROM documents WHERE regexp_replace(text, '^[\\t-\\r ]+|[\\t-\\r ]+$', '', 'g') NOT LIKE '```%'")

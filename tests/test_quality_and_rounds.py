@@ -44,10 +44,10 @@ def test_models_answers(spark):
 
 def test_prompts_and_backends(spark):
     docs = spark.createDataFrame([(1, "a — b"), (2, "c")], "doc_id long, text string")
-    from prosegauge.operators.findings import findings
+    from prosegauge.operators.findings import matched
 
-    found = findings(docs, rules.load().patterns)
-    made = {r["doc_id"]: r["prompt"] for r in prompts.rewrite(docs, found, "CATALOGUE", 2, top=True).collect()}
+    found = matched(docs, rules.load().patterns)
+    made = {r["doc_id"]: r["prompt"] for r in prompts.rewrite(found, "CATALOGUE", 2, top=True).collect()}
     assert all(x in made[1] for x in ("Round: 2", "CATALOGUE", "a — b", '"pattern_name":"em_dash"', "1. [high] em_dash", prompts.TASK))
     assert prompts.NOTHING in made[2]
     pair = spark.createDataFrame([(1, "old", "new")], "doc_id long, original string, rewritten string")
