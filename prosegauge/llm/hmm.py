@@ -40,7 +40,7 @@ from prosegauge.llm.common import batches, columns, materialize, release, small_
 STATES = 8
 OWN = 2048
 ENDINGS = 2048
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 3_000_000
 #: Blocks that share a vocabulary, and the words after which a new one is begun.
 SHARED, WORDS = 8, 500_000
 #: Texts of more characters are long.
@@ -187,7 +187,28 @@ def classes(words: np.ndarray, endings: np.ndarray, counts: np.ndarray, own: np.
 def with_counts(made: DataFrame, counts: Counts, words: DataFrame) -> DataFrame:
     """Blocks with the count and class of each word of their vocabulary in place of the hashes."""
     met = made.select("block", F.posexplode("words").alias("at", "word")).join(words.select("word", "count"), "word")
-    told = met.groupBy("block").agg(F.collect_list(F.struct("at", "count")).alias("c")).select("block", F.col("c.at").alias("at"), F.col("c.count").alias("count"))
+
+    def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each vocabulary from the counts of its words, which come in order."""
+        schema = pa.schema([("block", pa.int64()), ("count", pa.binary())])
+        now, held = None, []
+        for batch in it:
+            block, count = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if held and block[a] != now:
+                    yield from batches(iter([(now, np.concatenate(held).tobytes())]), schema)
+                    held = []
+                now = int(block[a])
+                held.append(count[a:b].copy())
+        if held:
+            yield from batches(iter([(now, np.concatenate(held).tobytes())]), schema)
+
+    small_batches(made.sparkSession, 100_000)  # of two numbers each
+    in_order = met.select("block", "at", "count").repartition("block").sortWithinPartitions("block", "at").select("block", "count")
+    told = materialize(in_order.mapInArrow(gather, "block long, count binary"), "hmm-told")
     names = ("block", "doc_id", "held", "n", "docs", "tokens")
     kinds = {"block": pa.int64(), "doc_id": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "n": pa.list_(pa.int32()), "docs": pa.list_(pa.int32()), "tokens": pa.list_(pa.binary()), "count": pa.binary(), "class": pa.binary()}
 
@@ -195,16 +216,17 @@ def with_counts(made: DataFrame, counts: Counts, words: DataFrame) -> DataFrame:
         for batch in it:
             made = []
             for k in range(batch.num_rows):
-                words, endings, at, found = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(len(names), len(names) + 4))
-                count = np.zeros(len(words), np.int64)
-                count[at] = found
+                words, endings = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (len(names), len(names) + 1))
+                count = np.frombuffer(batch.column(len(names) + 2)[k].as_py(), np.int64)
                 made.append((count.tobytes(), classes(words.view(np.uint64), endings, count, counts.own).tobytes()))
             added = [pa.array(x, pa.binary()) for x in zip(*made, strict=True)]
             yield pa.RecordBatch.from_arrays([c.cast(kind) for c, kind in zip([*batch.columns[: len(names)], *added], kinds.values(), strict=True)], names=list(kinds))
 
-    joined = made.drop("seen").join(told, "block").select(*names, "words", "endings", "at", "count")
+    joined = made.drop("seen").join(told, "block").select(*names, "words", "endings", "count")
     small_batches(made.sparkSession, 2)
-    return joined.mapInArrow(run, READY)
+    ready = materialize(joined.mapInArrow(run, READY), "hmm-ready")
+    release(told)
+    return ready
 
 
 class Sequences(NamedTuple):
@@ -449,6 +471,6 @@ def language_model(docs: DataFrame, held: str = "held", key: str = "doc_id", tex
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(held), F.lit(False)).alias("held"))
     made = materialize(blocks(rows), "hmm-blocks")
     counts, words = count_words(made)
-    ready = materialize(with_counts(made, counts, words), "hmm-ready")
+    ready = with_counts(made, counts, words)
     release(made, words)
     return score(ready, counts, train(ready, counts))
