@@ -36,8 +36,11 @@ def pack() -> rules.Ruleset:
 
 
 def folder(spark: SparkSession) -> str:
-    """Where a query may keep tables of its own: the shared folder, if the cluster names one."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/prosegauge-{uuid.uuid4().hex}"
+    """Where a query may keep tables of its own: the shared folder that the cluster names."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(named or '/tmp/checkpoints').rstrip('/')}/prosegauge-{uuid.uuid4().hex}"
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
