@@ -14,8 +14,12 @@ BATCH_ROWS = 500
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is configured."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder all executors share; one of our own only where none is configured and there are no other machines."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return "/tmp/checkpoints"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

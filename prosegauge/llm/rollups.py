@@ -3,10 +3,11 @@
 A change to a document is an insert, a delete or a revised count. As signed rows
 (a revision is the old count taken away and the new one added) changes add up in
 any order, so a batch is summed before it is stored and totals are sums over
-batches. A batch is committed by renaming its finished folder to the batch's name:
-whoever comes second finds the name taken and changes nothing, whether a job was
-repeated, sent twice, or lost half-way before the rename. Nothing is ever read,
-changed and written back.
+batches. A batch's rows are written to a folder of their own first. It is committed
+by a marker that bears the batch's name and names the folder, a file that is
+created only if there is none: whoever comes second finds it there and
+changes nothing, whether a job was repeated, sent twice, sent by two at once, or
+lost half-way before the marker. Nothing is ever read, changed and written back.
 """
 
 from __future__ import annotations
@@ -50,34 +51,58 @@ class Rollup:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), at
 
-    def _batch(self, batch: str) -> str:
+    def _marker(self, batch: str) -> str:
         if not batch or not all(c.isalnum() or c in "-_" for c in batch) or batch[0] == "_":
             raise ValueError(f"not a name for a batch: {batch!r}")
-        return f"{self.folder}/batch={batch}"
+        return f"{self.folder}/{batch}.committed"
 
     def committed(self, batch: str) -> bool:
-        fs, at = self._fs(self._batch(batch))
+        fs, at = self._fs(self._marker(batch))
         return fs.exists(at)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add the changes unless the batch is there already; whether they were added."""
         if self.committed(batch):
             return False
-        staged = f"{self.folder}/_staged-{uuid.uuid4().hex}"
-        signed(changes).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(staged)
-        fs, at = self._fs(staged)
-        _, to = self._fs(self._batch(batch))
-        # a rename onto a folder would move into it, so that is looked for again
-        added = not fs.exists(to) and fs.rename(at, to)
-        if not added:
-            fs.delete(at, True)
-        return added
+        name = f"_rows-{uuid.uuid4().hex}"
+        signed(changes).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{self.folder}/{name}")
+        if self._claim(batch, name):
+            return True
+        fs, at = self._fs(f"{self.folder}/{name}")
+        fs.delete(at, True)
+        return False
+
+    def _claim(self, batch: str, name: str) -> bool:
+        """Create the marker; False where there is one."""
+        fs, at = self._fs(self._marker(batch))
+        try:
+            out = fs.create(at, False)
+        except Exception:
+            if fs.exists(at):
+                return False
+            raise
+        try:
+            out.write(bytearray(name, "ascii"))
+        finally:
+            out.close()
+        return True
+
+    def _named(self, at) -> str:
+        fs = at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        size = fs.getFileStatus(at).getLen()
+        if not size:
+            raise RuntimeError(f"{at} names no rows: its commit broke off; delete it and send the batch again")
+        stream = fs.open(at)
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("ascii")
+        finally:
+            stream.close()
 
     def totals(self) -> DataFrame:
         """Sums over all batches; groups without documents or tokens are left out."""
         fs, at = self._fs(self.folder)
-        names = [str(s.getPath()) for s in fs.listStatus(at)] if fs.exists(at) else []
-        paths = [p for p in names if p.rpartition("/")[2].startswith("batch=")]
+        markers = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName().endswith(".committed")] if fs.exists(at) else []
+        paths = [f"{self.folder}/{self._named(m)}" for m in markers]
         if not paths:
             return self.spark.createDataFrame([], DELTAS)
         deltas = self.spark.read.schema(DELTAS).parquet(*paths)
@@ -101,13 +126,14 @@ def bpe_counts(docs: DataFrame, text: str = "text", path: str | None = None) ->
     return rows.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in docs.select(*kept).dtypes) + ", n_tokens long")
 
 
-WORDS, BPE = "words-1", "byte_bpe_50k-1"
+BLANKS, WORDS, BPE = "words-0", "words-1", "byte_bpe_50k-1"
 
 
 def first_counts(docs: DataFrame) -> DataFrame:
-    """Inserts for two tokenizer versions: words, exact, and BPE tokens, estimated as a quarter of the bytes."""
+    """Inserts for three tokenizer versions: parts between blanks, words, both exact, and BPE tokens, estimated as a quarter of the bytes."""
     words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     counts = F.array(
+        F.struct(F.lit(BLANKS).alias("tokenizer_version"), parts_between_blanks().alias("n_tokens")),
         F.struct(F.lit(WORDS).alias("tokenizer_version"), F.coalesce(words, F.lit(0)).cast("long").alias("n_tokens")),
         F.struct(F.lit(BPE).alias("tokenizer_version"), estimate().alias("n_tokens")),
     )
@@ -115,6 +141,16 @@ def first_counts(docs: DataFrame) -> DataFrame:
     return rows.select(F.lit("insert").alias("kind"), "source", "lang", "c.tokenizer_version", "c.n_tokens", F.lit(None).cast("long").alias("old_tokens"))
 
 
+def parts_between_blanks():
+    return F.coalesce(F.size(F.split("text", " ")), F.lit(0)).cast("long")
+
+
+def retired(docs: DataFrame) -> DataFrame:
+    """Deletes of all documents for the version that words-1 replaces."""
+    none = F.lit(None).cast("long")
+    return docs.select(F.lit("delete").alias("kind"), "source", "lang", F.lit(BLANKS).alias("tokenizer_version"), parts_between_blanks().alias("n_tokens"), none.alias("old_tokens"))
+
+
 def estimate():
     return F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4).cast("long")
 
@@ -126,7 +162,7 @@ def revised_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def maintain(docs: DataFrame, folder: str, path: str | None = None) -> DataFrame:
-    """Load the documents, revise the estimates, send the revision once more, and return the totals.
+    """Load the documents, revise the estimates, delete a version that is replaced, send both once more, and return the totals.
 
     ``source, lang, tokenizer_version, docs, tokens``. Null sources and languages
     are groups of their own, repeated rows count as often as they occur, an empty
@@ -136,4 +172,5 @@ def maintain(docs: DataFrame, folder: str, path: str | None = None) -> DataFrame
     store.commit("load", first_counts(docs))
     for _ in range(2):
         store.commit("revise", revised_counts(docs, path))
+        store.commit("retire", retired(docs))
     return store.totals()

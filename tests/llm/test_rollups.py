@@ -41,6 +41,24 @@ def test_a_lost_commit_leaves_nothing(spark, tmp_path):
             store.commit(name, bad)
 
 
+def test_two_who_commit_at_once(spark, tmp_path, monkeypatch):
+    """Both find no marker when they look; one creates it."""
+    store = rollups.Rollup(spark, str(tmp_path / "r"))
+    rows = spark.createDataFrame([("insert", "a", "en", "v", 4, None)], CHANGE)
+    monkeypatch.setattr(rollups.Rollup, "committed", lambda self, batch: False)
+    assert [store.commit("b", rows) for _ in range(3)] == [True, False, False]
+    assert totals(store) == {("a", "en", "v"): (1, 4)}
+    assert len([p for p in (tmp_path / "r").iterdir() if p.name.startswith("_rows")]) == 1
+
+
+def test_a_marker_that_names_nothing_is_told(spark, tmp_path):
+    store = rollups.Rollup(spark, str(tmp_path / "r"))
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "b.committed").touch()
+    with pytest.raises(RuntimeError, match="broke off"):
+        store.totals()
+
+
 def test_maintained_totals(spark, tmp_path):
     texts = ["The cat, it sat.", None, "", " \t\n\x0b ", "ünï 日本", "a  b\r\nc", "x" * 9000, "The cat, it sat."]
     rows = [(i, t, ["en", "de", None][i % 3], ["s", "t", "s", None][i % 4], i) for i, t in enumerate(texts)] + [(0, texts[0], "en", "s", 0)]
