@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import cache
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from prosegauge.functions import prose
 from prosegauge.operators import findings, prompts, quality, reports, rounds, score
 from prosegauge.plans import oracles as sql
+from prosegauge.shared import folder
 from prosegauge.sources import documents, rules
 from prosegauge.streaming import files
 
@@ -35,14 +35,6 @@ def pack() -> rules.Ruleset:
     return rules.load()
 
 
-def folder(spark: SparkSession) -> str:
-    """Where a query may keep tables of its own: the shared folder that the cluster names."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(named or '/tmp/checkpoints').rstrip('/')}/prosegauge-{uuid.uuid4().hex}"
-
-
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.findings(documents.decorated(spark, sf_dir), pack().patterns)
 
@@ -400,7 +392,7 @@ def _answers(spark, sf_dir) -> DataFrame:
 
 
 @query("quality_parse", f"""WITH a AS (SELECT doc_id, (doc_id % 11) / {sql.d(10)} AS c, doc_id % 10 AS k FROM documents),
- b AS (SELECT *, CASE WHEN k = 4 THEN 'quality assessment response was not valid JSON' WHEN k = 5 THEN 'completeness score must be between 0.0 and 1.0' END AS error FROM a)
+ b AS (SELECT *, CASE WHEN k = 4 THEN 'the assessment is not valid JSON' WHEN k = 5 THEN 'completeness score must be between 0.0 and 1.0' END AS error FROM a)
  SELECT doc_id, CASE WHEN error IS NULL THEN c END AS coherence, CASE WHEN error IS NULL THEN round((c + {sql.d(0.6)} + {sql.d(1)} + {sql.d(0.9)}) * {sql.d(0.25)}, 4) END AS overall,
  CASE WHEN error IS NULL THEN CASE WHEN doc_id % 2 = 0 THEN 'n' ELSE '' END END AS notes, CASE WHEN error IS NULL THEN (c + {sql.d(0.6)} + {sql.d(1)} + {sql.d(0.9)}) * {sql.d(0.25)} < {sql.d(0.6)} END AS low, error FROM b""")
 def quality_parse(spark, sf_dir):

@@ -140,6 +140,44 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert (tmp_path / "a.txt").read_text() == "a and b" and capsys.readouterr().out == "a and b"
 
 
+def test_rounds_of_a_file(spark, tmp_path, capsys, monkeypatch):
+    file, keep = tmp_path / "a.txt", tmp_path / "kept"
+    file.write_text("a — b")
+    monkeypatch.setattr("sys.stdin", io.StringIO(f"a — c\n.\nall calm\n.\n{GOOD}"))
+    assert cli.main(["deslop", str(file), "--keep", str(keep)], spark) == 0
+    said = capsys.readouterr()
+    assert file.read_text() == said.out == "all calm\n" and "overall: 0.8" in said.err
+    assert sorted(p.name for p in keep.iterdir()) == ["cleaned.txt", *(f"round-{n}-{x}" for n in (1, 2) for x in ("after.json", "before.json", "prompt.md", "rewrite.txt"))]
+    assert json.loads((keep / "round-1-after.json").read_text())[0]["pattern_name"] == "em_dash" and json.loads((keep / "round-2-after.json").read_text()) == []
+
+
+def test_answers_in_files(spark, tmp_path, capsys):
+    file, answers = tmp_path / "a.txt", tmp_path / "answers"
+    file.write_text("a — b")
+    call = ["deslop", str(file), "--answers", str(answers), "--policy", "fenced"]
+    with pytest.raises(SystemExit, match="round-1-response.txt"):
+        cli.main(call, spark)
+    assert "Heaviest findings" in (answers / "round-1-prompt.md").read_text() and file.read_text() == "a — b"
+    (answers / "round-1-response.txt").write_text("```text\na, b\n```\n")
+    (answers / "assessment.json").write_text(GOOD)
+    assert cli.main(call, spark) == 0
+    assert file.read_text() == "a, b" == capsys.readouterr().out
+
+
+def test_functions_that_answer(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "a.txt").write_text("a — b")
+    monkeypatch.setattr(cli.os, "environ", {cli.SECOND_KEY: "k"})
+    assert cli.chosen({"second_service": len}, {cli.SECOND_KEY: "k"}) is len and cli.chosen({"cli": len}, {}) is cli.interactive
+    assert cli.chosen({"cli": len}, {cli.TOOL: "sh"}) is len and cli.chosen({"cli": len}, {cli.TOOL: "no-such-command-here"}) is cli.interactive
+    pairs = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "doc_id long, original string, rewritten string")
+    answer = lambda asked: asked.where("doc_id = 1").selectExpr("doc_id", f"'{GOOD}' AS response")
+    got = {r["doc_id"]: (r["overall"], r["error"]) for r in quality.assess(pairs, answer).collect()}
+    assert got == {1: (0.825, None), 2: (None, "the assessment is not valid JSON")}
+    scored = spark.createDataFrame([(1, 40), (2, 10)], "doc_id long, score int")
+    beside = quality.beside(scored, spark.createDataFrame([(1, 0.5)], "doc_id long, naturalness double"))
+    assert {tuple(r) for r in beside.collect()} == {(1, 40, 0.5), (2, 10, None)}
+
+
 def test_arguments():
     args = cli.parser().parse_args(["deslop", "f"])
     assert (args.max_rounds, args.target_matches, args.force_rewrite, args.assess) == (3, 0, False, True)
