@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, ShortType, StructField, StructType
 
-from prosegauge.llm.common import batches, materialize, small_batches
+from prosegauge.llm.common import batches, materialize, release, small_batches
 
 SAMPLE = 8192
 MOST_PIVOTS = 1024
@@ -277,4 +277,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     single = found.groupBy("q", "query_id", "cid").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
     nearest = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     listed = single.select("q", "query_id", "score", F.explode("ids").alias("vec_id"))
-    return listed.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = materialize(listed.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ann-nearest")
+    release(known, posts, queries, sizes, files)
+    return out

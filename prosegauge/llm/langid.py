@@ -30,6 +30,8 @@ DIMENSIONS = 1024
 SLOTS = 64
 SEED = 20_011
 UNKNOWN = "und"
+#: What is worked on at once: code points of texts, counts of texts by trigrams, vectors of trigrams.
+CHARS, CELLS, VECTORS = 8_000_000, 8_000_000, 16_384
 
 
 @cache
@@ -55,8 +57,8 @@ def trigram_vectors(codes: np.ndarray, dimensions: int) -> np.ndarray:
     return np.roll(one, 2, axis=1)[codes // SLOTS**2] * np.roll(one, 1, axis=1)[codes // SLOTS % SLOTS] * one[codes % SLOTS]
 
 
-def trigram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram codes that occur in the texts, and how often each text has each."""
+def trigram_counts(texts: list[str | None], cells: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Trigram codes that occur in the texts, and how often each text has each; None for several texts with more than ``cells`` counts."""
     slot = letter_slots()
     lengths = [len(t) + 2 if t else 2 for t in texts]
     line = " " + "  ".join(t or "" for t in texts) + " "
@@ -71,15 +73,33 @@ def trigram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     there = np.zeros(SLOTS**3, np.int32)
     there[codes] = 1
     known = np.flatnonzero(there)
+    if cells and len(texts) > 1 and len(texts) * len(known) > cells:
+        return None
     there[known] = np.arange(len(known))
     counts = np.bincount(whose * len(known) + there[codes], minlength=len(texts) * len(known))
     return known, counts.reshape(len(texts), len(known))
 
 
+def counted(texts: list[str | None]) -> Iterator[tuple[list[str | None], np.ndarray, np.ndarray]]:
+    """``trigram_counts`` of all texts, of fewer at once where they have very many trigrams or are very long."""
+    made = trigram_counts(texts, CELLS) if sum(len(t or "") for t in texts) <= CHARS or len(texts) < 2 else None
+    if made is None:
+        half = len(texts) // 2
+        yield from counted(texts[:half])
+        yield from counted(texts[half:])
+    else:
+        yield texts, *made
+
+
 def bundles(texts: list[str | None], dimensions: int) -> np.ndarray:
     """The bundle of each text, as float32 (sums of ones, exact below 2^24)."""
-    known, counts = trigram_counts(texts)
-    return counts.astype(np.float32) @ trigram_vectors(known, dimensions).astype(np.float32)
+    out = []
+    for part, known, counts in counted(texts):
+        sums = np.zeros((len(part), dimensions), np.float32)
+        for k in range(0, len(known), VECTORS):
+            sums += counts[:, k : k + VECTORS].astype(np.float32) @ trigram_vectors(known[k : k + VECTORS], dimensions).astype(np.float32)
+        out.append(sums)
+    return np.concatenate(out) if out else np.zeros((0, dimensions), np.float32)
 
 
 class Profiles:
@@ -120,10 +140,12 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", dimension
         sums: dict[str, np.ndarray] = {}
         for batch in it:
             texts, langs = columns(batch, "text", "lang")
-            known, counts = trigram_counts(texts)
-            for one in set(langs):
-                mine = counts[[k for k, x in enumerate(langs) if x == one]].sum(axis=0)
-                np.add.at(sums.setdefault(one, np.zeros(SLOTS**3, np.int64)), known, mine)
+            at = 0
+            for part, known, counts in counted(texts):
+                mine_of, at = langs[at : at + len(part)], at + len(part)
+                for one in set(mine_of):
+                    mine = counts[[k for k, x in enumerate(mine_of) if x == one]].sum(axis=0)
+                    sums.setdefault(one, np.zeros(SLOTS**3, np.int64))[known] += mine
         for one, total in sums.items():
             codes = np.flatnonzero(total)
             vector = np.zeros(dimensions, np.int64)

@@ -11,13 +11,14 @@ there are ticks. One period is simulated (its length depends on the weights, not
 on the data), and a block's slot follows from its number: whole periods, and its
 place in the period. When a source runs out the weights of those left apply from
 the next slot on, a new phase with a period of its own. Documents are numbered
-within their source on the cluster: a large source is split by a hash, the parts
-are numbered alone and shifted by the counts before them.
+within their source on the cluster: a source is split by a hash into as many parts
+as a part has documents, the parts are numbered alone and shifted by the counts before them.
 """
 
 from __future__ import annotations
 
 import heapq
+from math import isqrt
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 BLOCK = 32
 TICKS = 1000
 POWER = 0.5
-#: Documents of one source that are numbered together.
-NUMBERED = 2000
+#: Numbers that are broadcast at most.
+BROADCAST = 4_000_000
 #: The plan has up to half the square of this many rows.
 MOST_SOURCES = 2000
 
@@ -117,7 +118,7 @@ def mixed(docs: DataFrame, weights: dict[str, int] | None = None, source: str =
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources; mix groups of them instead")
     runs = plan({s: -(-n // block) for s, n in sizes.items()}, weights or tempered(sizes))
-    parts = spark.createDataFrame([(s, -(-n // NUMBERED)) for s, n in sizes.items()], "_source string, _parts long")
+    parts = spark.createDataFrame([(s, isqrt(n) + 1) for s, n in sizes.items()], "_source string, _parts long")
     rows = named.join(F.broadcast(parts), "_source").withColumn("_part", F.pmod(F.xxhash64(key, "_source"), "_parts"))
     before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("_source", "_part").agg(F.count("*").alias("n"))
@@ -130,7 +131,9 @@ def mixed(docs: DataFrame, weights: dict[str, int] | None = None, source: str =
     i = F.col("mix_block") - F.col("_first")
     slot = F.col("_base") + F.floor(i / F.col("_weight")) * F.col("_ticks") + F.get("_places", (i % F.col("_weight")).cast("int"))
     hit = (F.col("_source") == F.col("_of")) & (F.col("mix_block") >= F.col("_first")) & (F.col("mix_block") < F.col("_last"))
-    return ranked.join(F.broadcast(where), hit).select(*kept.columns, "mix_phase", "mix_block", slot.cast("long").alias("mix_slot"), (F.col("_rank") % block).cast("int").alias("mix_place"))
+    # a plan's size follows from the sources and weights, not from the documents; beyond the bound the join shuffles
+    small = sum(8 + len(r.places) for r in runs) <= BROADCAST
+    return ranked.join(F.broadcast(where) if small else where, hit).select(*kept.columns, "mix_phase", "mix_block", slot.cast("long").alias("mix_slot"), (F.col("_rank") % block).cast("int").alias("mix_place"))
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:

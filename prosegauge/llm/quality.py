@@ -156,7 +156,9 @@ class Network:
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         w, b, u, c = self.layers
-        return np.tanh((x - self.mean) / self.scale @ w + b) @ u + c
+        # sums in one order whatever the other rows are, so that equal texts have equal scores
+        h = np.tanh(np.einsum("ij,jk->ik", (x - self.mean) / self.scale, w) + b)
+        return np.einsum("ij,j->i", h, u) + c
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -30, 30)))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import batches, columns, materialize, small_batches
+from prosegauge.llm.common import batches, columns, materialize, release, small_batches
 from prosegauge.llm.graph import components
 
 SEED = 42
@@ -98,7 +98,7 @@ def linked(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """``distinct(fp)`` -> ``edges(src, dst)`` that connect exactly what links within the radius connect."""
+    """``distinct(fp)`` -> a table of ``edges(src, dst)`` that connect exactly what links within the radius connect."""
     spark = distinct.sparkSession
     low = F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     classed = distinct.select("fp", low.cast("int").alias("lo"), F.bit_count(F.shiftrightunsigned("fp", 32)).cast("int").alias("hi"))
@@ -127,7 +127,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(src.view(np.int64)), pa.array(dst.view(np.int64))], schema=schema)
 
     small_batches(spark, 64)
-    return pairs.select("a", "b", same.alias("same")).repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(run, "src long, dst long")
+    made = materialize(pairs.select("a", "b", same.alias("same")).repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(run, "src long, dst long"), "simhash-links")
+    release(tiles, meet)
+    return made
 
 
 def groups(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -137,8 +139,9 @@ def groups(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFra
     as they went in. A row without doc_id takes part but gives no component its
     name; a component of such rows alone has a null component_id.
     """
-    known = materialize(links(prints.select("fp").distinct(), radius, tile), "simhash-links")
+    known = links(prints.select("fp").distinct(), radius, tile)
     roots = components(known)
+    release(known)
     rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialize(rooted.select("doc_id", "fp", "root"), "simhash-rooted")
     names = materialize(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "simhash-names")

@@ -59,3 +59,14 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "abc", None), (2, None, None)], "doc_id long, text string, lang string")
     assert {x["lang_pred"] for x in langid.identify(some, model).collect()} == {"und"}
     assert langid.identify(empty, model).count() == 0
+
+
+def test_texts_in_many_scripts_are_counted_in_parts(monkeypatch):
+    r = random.Random(8)
+    letters = [chr(c) for c in range(0x400, 0x3000) if chr(c).isalpha()]
+    texts = ["".join(r.choices(letters, k=400)) for _ in range(40)] + [None, "", "a short one"]
+    whole = langid.bundles(texts, 256)
+    monkeypatch.setattr(langid, "CELLS", 3000)
+    monkeypatch.setattr(langid, "VECTORS", 50)
+    assert np.array_equal(langid.bundles(texts, 256), whole)
+    assert max(len(part) * len(known) for part, known, _ in langid.counted(texts) if len(part) > 1) <= 3000

@@ -50,7 +50,7 @@ def test_plan_gives_each_block_one_slot(weights, data):
 
 
 def test_rows(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "NUMBERED", 7)
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
     rows = [(i, f"s{min(i % 7, 3)}", "t") for i in range(200)] + [(7, "s0", "again"), (7, "s0", "again"), (None, "s1", "x"), (500, None, "n"), (501, "", "e"), (502, "solo", None)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 mix_slot")
     got = mixing.mixed(docs, block=4).collect()

@@ -84,3 +84,62 @@ def test_a_text_without_room_does_not_end_the_sample(spark, monkeypatch):
     rows = [(i, "word " * 1000 if i == first else f"text number {i} of a few words", i % 2) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
     assert quality.train(docs.drop("quality"), docs.drop("text")).network is not None
+
+
+def test_scores_against_a_plain_version():
+    """Index vectors, contexts, pooling, the two layers and the temperature, one number after the other."""
+    r = random.Random(3)
+    good = [" ".join(r.choices(["the", "river", "Stone", "walks", "7", "slowly."], k=r.randint(5, 40))) for _ in range(60)]
+    bad = [" ".join(r.choices(["BUY", "now!!!", "click", "$$$", "the", "now!!!"], k=r.randint(5, 40))) for _ in range(60)]
+    texts, labels = good + bad, [1] * 60 + [0] * 60
+    model = quality.Quality(texts, labels)
+
+    def pairs(text):
+        out, before = [], None
+        for w in text.split():
+            a, b = quality.terms(w)
+            out.append((a, quality.AGAIN if w == before else b))
+            before = w
+        return out
+
+    seen = {}
+    for t in texts:
+        for a, b in pairs(t):
+            for x in (a, b):
+                seen[x] = seen.get(x, 0) + 1
+    known = {x for x, n in seen.items() if n >= quality.LEAST and x}
+    index = {x: quality.index_vector(x).astype(float) for x in known}
+    rare = quality.index_vector(quality.RARE).astype(float)
+    context = {x: np.zeros(quality.DIMENSIONS) for x in [*known, None]}
+    name = lambda x: x if x in known else None
+    vector = lambda x: index.get(x, rare)
+    for t in texts:
+        line = pairs(t)
+        for i, pair in enumerate(line):
+            around = sum((vector(a) + vector(b) for j, (a, b) in enumerate(line) if j != i and abs(i - j) <= quality.WINDOW), np.zeros(quality.DIMENSIONS))
+            for x in pair:
+                context[name(x)] += around
+    unit = {x: v / max(np.linalg.norm(v), 1e-9) for x, v in context.items()}
+    final = lambda x: vector(x) / quality.ENTRIES**0.5 + unit[name(x)]
+    asked = [texts[0], texts[-1], "river now!!! unheard-of words", "", "the the the"]
+    net, want = model.network, []
+    for t in asked:
+        line = pairs(t)
+        pooled = np.concatenate([np.mean([final(p[k]) for p in line], axis=0) if line else np.zeros(quality.DIMENSIONS) for k in (0, 1)])
+        z = (pooled - net.mean) / net.scale
+        w, b, u, c = net.layers
+        hidden = [np.tanh(sum(z[i] * w[i, j] for i in range(len(z))) + b[j]) for j in range(len(b))]
+        logit = sum(h * v for h, v in zip(hidden, u, strict=True)) + c[0]
+        want.append(1 / (1 + np.exp(-logit / net.temperature)))
+    assert np.allclose(model.score(asked), want, atol=1e-4)
+
+
+def test_a_long_labelled_text_does_not_empty_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_CHARS", 5_000)
+    rows = [(k, "x " * 10_000 if k % 10 == 0 else ("calm words in a row" if k % 2 else "BUY BUY now!!!")) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert model.network is not None
+    a, b = model.score(["calm words in a row", "BUY BUY now!!!"])
+    assert a > 0.5 > b
