@@ -61,7 +61,9 @@ def whole_text(text: Column, java_regex: str) -> Column:
     def rows(chosen: Column) -> Column:  # bound once for the text
         out = None
         for k, (opening, closing) in enumerate(MARKS):
-            found = marked_rows(F.regexp_replace(text, F.lit(java_regex), F.lit(f"{opening}$0{closing}")), opening, closing)
+            # in a text that holds every pair the last one's signs are unreadable signs from here on
+            free = text if k < len(MARKS) - 1 else F.translate(text, opening + closing, "\ufffd\ufffd")
+            found = marked_rows(F.regexp_replace(free, F.lit(java_regex), F.lit(f"{opening}$0{closing}")), opening, closing)
             out = F.when(chosen == k, found) if out is None else out.when(chosen == k, found)
         return out
 

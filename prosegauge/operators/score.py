@@ -25,7 +25,8 @@ GUARD = 0.8
 LEAST_SENTENCES = 5
 LONG = 1000
 
-# Our own choices: closed classes for the sentence skeleton, and the detectors' phrases.
+# Our own choices: closed classes for the sentence skeleton, and the detectors' phrases, among which are those that the
+# specification gives as examples.
 CLASSES = {
     "p": "i you he she it we they me him her us them this that these those who which".split(),
     "d": "a an the my your his its our their each every some any no".split(),

@@ -282,3 +282,67 @@ def word_rows() -> list[tuple]:
         elif on and not line.startswith("| -"):
             rows.append((len(rows), cells[0], cells[1] or None, float(cells[2])))
     return rows
+
+
+# The habits of Korean prose, a group a line.
+KOREAN_NAMES = """
+A about_regarding through in_terms point_sense related based_on have double_passive by_passive can_overuse purpose automated_passive noun_stack and_sentence abstract_subject
+B parenthesized_english raw_english_term long_english_quote known_as
+C mechanical_enumeration bullet_block generic_headings topic_sentence emoji heading_summary three_step binary_parallel numeric_index colon_heading
+D conclusion_phrase importance_cliche list_intro hype personified_abstract closing_formula transformation_formula
+E length_variation repeated_endings uniform_paragraphs
+F degree_adverb double_modifier role_function suffix_abuse jeok_chain
+G hedging double_hedge
+H connector contrast_connector meta_entry ie
+I geotida dependent_noun means_ending need_to needed ability_noun
+J bold quote_emphasis em_dash parenthetical_aside
+"""
+
+
+def korean_rows() -> str:
+    listed = [(f"{line.split()[0]}-{k}", name) for line in KOREAN_NAMES.strip().splitlines() for k, name in enumerate(line.split()[1:], 1)]
+    return values("habit, name", listed)
+
+
+#: Sentences of our own that hold the habits, one for each document by its key.
+KOREAN_SENTENCES = [
+    "우리는 날씨에 대해 말했고 편지를 통해 알렸다. 그리고 집에 갔다.",
+    "이는 창문이 열리게 된다는 뜻이다. 하지만 비가 온다. 그러나 춥다.",
+    "첫째, 빵이다. 둘째, 물이다. 셋째, 소금이다. 결론적으로 배가 고프다.",
+    "매우 혁신적인 숟가락(spoon)을 위해 기다릴 필요가 있다고 했지만 할 수 있다.",
+    "먼저 앉는다, 반면 너는 선다, 결국 모두 눕는다. 산인가, 바다인가 묻는다.",
+    "아이의 친구의 개의 꼬리는 길다. 사회적 문화적 관점에서 보면 그렇다.",
+    "1) 하나\n2) 둘\n## 결론\n즉, 끝이다. ‘아주 짧은 말’ (그리고 조금 더 긴 설명이다)",
+]
+_CHOSEN = "CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(KOREAN_SENTENCES)) + " END"
+
+
+def korean_text(newline: str) -> str:
+    return "text || " + newline + " || " + _CHOSEN.replace("\n", f"' || {newline} || '")
+
+
+def korean_hits(habits: list[tuple]) -> str:
+    parts = [f"SELECT doc_id, {q(h)} AS habit, {q(name)} AS name, {q(c)} AS component, CAST({hits('text', rx)} AS INT) AS hits FROM docs" for h, name, c, rx in habits if rx]
+    return with_(f"docs AS (SELECT doc_id, {korean_text('chr(10)')} AS text FROM documents)", "every AS (" + "\nUNION ALL ".join(parts) + ")") + "SELECT * FROM every WHERE hits > 0"
+
+
+SIGNED = "CASE doc_id % 4 WHEN 0 THEN 'Honestly, I was wrong. ' || text WHEN 1 THEN text || ' In my experience, for example, 12 of 40 did.' WHEN 2 THEN 'By the way, ' || text ELSE text END"
+
+
+def human_rows(kinds: dict[str, list[str]]) -> str:
+    signs = ", ".join(f"CAST({hits('padded', prose.either(ps))} AS INT) AS {kind}" for kind, ps in kinds.items())
+    return with_(f"docs AS (SELECT doc_id, lang, {SIGNED} AS text FROM documents)", *VIEWS) + f"""SELECT doc_id, {signs}, CAST(len(list_filter(words, lambda w: regexp_matches(w, '^[0-9]+$'))) AS INT) AS numbers,
+ CAST(len(list_distinct(list_transform(sentences, lambda s: len(s)))) AS INT) AS sentence_lengths FROM sized"""
+
+
+def change_rows() -> str:
+    own = lambda x: f"list_distinct({words(f'lower({x})')})"
+    return with_(DECORATED_VIEW, *VIEWS).rstrip() + f""", pairs AS (SELECT doc_id, {own('o.text')} AS a, {own('s.text')} AS b, list_transform(sentences, lambda x: len(x)) AS sizes FROM sized s JOIN documents o USING (doc_id)),
+ rates AS (SELECT doc_id, sizes, len(list_intersect(a, b)) AS shared, len(list_distinct(list_concat(a, b))) AS total FROM pairs)
+ SELECT doc_id, CASE WHEN total = 0 THEN {d(0)} ELSE round(1 - shared / CAST(total AS DOUBLE), 4) END AS change_rate, CASE WHEN total = 0 THEN FALSE ELSE 1 - shared / CAST(total AS DOUBLE) > 0.5 END AS much_changed,
+ len(list_filter(sizes, lambda n: n <= 6)) > 0 AND len(list_filter(sizes, lambda n: n >= 35)) > 0 AS varied_lengths FROM rates"""
+
+
+def uniform_rows() -> str:
+    counts = f"list_filter(list_transform(string_split_regex(clean, {q(prose.PARAGRAPH_END)}), lambda p: len(list_filter(string_split_regex(p, '[.!?]+'), lambda x: regexp_matches(x, {q(prose.WORD)})))), lambda n: n > 0)"
+    return with_(DECORATED_VIEW, *VIEWS[:2]) + f"""SELECT doc_id, CAST(len(n) AS INT) AS paragraphs, len(n) >= 3 AND len(list_filter(n, lambda x: x NOT BETWEEN 3 AND 4)) = 0 AS uniform FROM (SELECT doc_id, {counts} AS n FROM cleaned)"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosegauge.functions import prose
-from prosegauge.operators import findings, prompts, quality, reports, rounds, score
+from prosegauge.operators import findings, habits, prompts, quality, reports, rounds, score
 from prosegauge.plans import oracles as sql
 from prosegauge.shared import folder
 from prosegauge.sources import documents, rules
@@ -276,6 +276,39 @@ def checklist_flags(spark, sf_dir):
     return scored(spark, sf_dir).select("doc_id", (F.col("bullet_ratio") >= 0.8).alias("mostly_bullets"), (F.col("meta_hits") * 300 > F.col("w")).alias("much_meta"), ((F.col("s") >= 5) & (F.col("cv") < 0.1)).alias("flat_lengths"))
 
 
+# Diagnostics beside the score
+
+
+@query("korean_catalog", sql.korean_rows())
+def korean_catalog(spark, sf_dir):
+    return spark.createDataFrame([h[:2] for h in habits.KOREAN], "habit string, name string")
+
+
+@query("korean_hits", sql.korean_hits(habits.KOREAN))
+def korean_hits(spark, sf_dir):
+    """Habits in documents to which a Korean sentence is added."""
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", F.expr(sql.korean_text("char(10)")).alias("text"))
+    return habits.korean(docs)
+
+
+@query("human_signs", sql.human_rows(habits.HUMAN))
+def human_signs(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", F.expr(sql.SIGNED).alias("text"))
+    return habits.human(docs)
+
+
+@query("checklist_changes", sql.change_rows())
+def checklist_changes(spark, sf_dir):
+    """Documents against their decorated texts."""
+    plain = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", F.col("text").alias("original"), F.expr(documents.DECORATED).alias("rewritten"))
+    return habits.checklist(plain)
+
+
+@query("uniform_paragraphs", sql.uniform_rows())
+def uniform_paragraphs(spark, sf_dir):
+    return habits.uniform_paragraphs(documents.decorated(spark, sf_dir))
+
+
 _WORDS, _PHRASES = score.lexicon_phrases()
 _LEXICON = [(prose.phrase(p), kind) for kind, ps in (("word", _WORDS), ("phrase", _PHRASES)) for p in ps]
 
@@ -290,7 +323,7 @@ def _hit_sql(kind: str | None) -> str:
 def hit_rows(spark, sf_dir) -> DataFrame:
     """Lexicon hits by document, entry and kind; the lexicon has a fixed, small size."""
     table = spark.createDataFrame(sorted(set(_LEXICON)), "entry string, kind string")
-    rows = score.views(documents.decorated(spark, sf_dir)).select("doc_id", F.explode(F.regexp_extract_all("padded", F.lit(prose.either(_WORDS + _PHRASES)), F.lit(0))).alias("entry"))
+    rows = score.views(documents.decorated(spark, sf_dir)).select("doc_id", F.explode(F.regexp_extract_all("padded", F.lit(prose.any_of(_WORDS + _PHRASES)), F.lit(0))).alias("entry"))
     joined = rows.join(F.broadcast(table), "entry")
     return joined.groupBy("doc_id", F.trim(F.replace("entry", F.lit("  "), F.lit(" "))).alias("entry"), "kind").agg(F.count("*").alias("hits"))
 

@@ -73,8 +73,9 @@ def test_headings(spark, patterns):
 
 
 def test_marks_in_the_text(spark, patterns):
-    text = "".join(a + b for a, b in findings.MARKS[:2]) + "\n- a\n- b\n- c"
-    assert named(spark, patterns, text) == [("bullet_block", "- a", 2)]
+    for some in (findings.MARKS[:2], findings.MARKS):
+        text = "".join(a + b for a, b in some) + "\n- a\n- b\n- c"
+        assert named(spark, patterns, text) == [("bullet_block", "- a", 2)]
 
 
 def test_against_a_plain_matcher(spark, patterns):
