@@ -2,8 +2,10 @@
 
 import itertools
 import time
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from prosegauge.llm import extract
 from prosegauge.llm.blocks import blocks
@@ -112,6 +114,49 @@ def test_pages_not_trained_on():
     assert right / blocks_seen > 0.98
 
 
+class Article(HTMLParser):
+    """Another reader of the given pages, by the standard library: the blocks of what the article element holds."""
+
+    BLOCKS = {"p", "div", "h1", "h2", "h3", "li", "ul", "ol", "article", "section", "blockquote", "table", "tr", "td"}
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skipped, self.line, self.found = 0, 0, [], []
+        self.feed(html)
+        self.close()
+        self.end()
+
+    def end(self):
+        if text := " ".join("".join(self.line).split()):
+            self.found.append(text)
+        self.line = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.end()
+        self.inside += tag == "article"
+        self.skipped += tag in ("script", "style")
+        if tag == "br":
+            self.line.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.end()
+        self.inside -= tag == "article"
+        self.skipped -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.inside and not self.skipped:
+            self.line.append(data)
+
+
+def test_the_given_pages_by_another_reader():
+    model, rows = extract.trained(), pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    whole = [r for r in rows if r["html"] and "<article" in r["html"]]
+    right = sum(model.text(r["html"]) == "\n\n".join(Article(r["html"]).found) for r in whole)
+    assert len(whole) > 200 and right / len(whole) >= 0.95
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header class="site-header"><a href="/">Site</a></header><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies on this site.</p><button>OK</button></div><div class="ad">Buy this now, it is very good.</div>
