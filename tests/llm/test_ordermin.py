@@ -1,6 +1,7 @@
 """Order MinHash against a plain Python version, and its edges."""
 
 import hashlib
+import random
 import re
 import struct
 
@@ -95,3 +96,9 @@ def test_order_matters(spark):
     rows = {r["doc_id"]: r for r in om.fingerprints(spark.createDataFrame([(2, a), (1, moved)], "doc_id long, text string")).collect()}
     # nearly the same k-mers, but those that met across the halves have changed places
     assert 0.3 < rows[2]["near_next"] < 0.9
+
+
+def test_very_long_texts(spark):
+    r = random.Random(9)
+    long = " ".join(f"w{r.randrange(5000)}" for _ in range(40_000))
+    check(spark, [(3, long), (2, "short"), (1, long[::-1])])

@@ -60,7 +60,7 @@ def test_a_marker_that_names_nothing_is_told(spark, tmp_path):
 
 
 def test_maintained_totals(spark, tmp_path):
-    texts = ["The cat, it sat.", None, "", " \t\n\x0b ", "ünï 日本", "a  b\r\nc", "x" * 9000, "The cat, it sat."]
+    texts = ["The cat, it sat.", None, "", " \t\n\x0b ", "ünï 日本", "a  b\r\nc", "x" * 9000, "The cat, it sat.", "some words, " * 30_000]
     rows = [(i, t, ["en", "de", None][i % 3], ["s", "t", "s", None][i % 4], i) for i, t in enumerate(texts)] + [(0, texts[0], "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_tokens long")
     encode, want = tokens.encoder(tokens.default_path()).ids, {}
