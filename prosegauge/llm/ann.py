@@ -120,11 +120,12 @@ def best(ids: list[list[int]], cids: np.ndarray, vectors: np.ndarray, near: np.n
 
 
 def entries(rows: DataFrame, k: int) -> DataFrame:
-    """``rows(id, x)`` -> ``(cid, dim, ids, x)``: distinct vectors with their smallest ids, sorted, one more than ``k``."""
-    smallest = Window.partitionBy("x").orderBy("id")
-    few = rows.select("id", "x").withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1)
-    made = few.groupBy("x").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    return materialize(made.select(F.monotonically_increasing_id().alias("cid"), F.size("x").alias("dim"), "ids", "x"), "ann-entries")
+    """``rows(h, id, x)``, h a hash of x -> ``(cid, dim, ids, h, x)``: distinct vectors with their smallest ids, sorted, one more than ``k``."""
+    # with the hash first, sorts hardly ever compare two vectors
+    smallest = Window.partitionBy("h", "x").orderBy("id")
+    few = rows.select("h", "id", "x").withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1)
+    made = few.groupBy("h", "x").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return materialize(made.select(F.monotonically_increasing_id().alias("cid"), F.size("x").alias("dim"), "ids", "h", "x"), "ann-entries")
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -206,18 +207,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     """
     spark = vectors.sparkSession
     x = F.transform(F.col(vector), lambda v: v.cast("double") + F.lit(0.0))  # -0.0 is 0.0
-    rows = vectors.where(F.col(key).isNotNull()).where(usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), x.alias("x"), F.coalesce(is_query, F.lit(False)).alias("query"))
+    rows = vectors.where(F.col(key).isNotNull()).where(usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), x.alias("x"), F.coalesce(is_query, F.lit(False)).alias("query")).withColumn("h", F.xxhash64("x"))
     known = entries(rows, k)
     totals = known.groupBy("dim").agg(F.count("*").alias("n")).collect()  # a row for each length of vectors
     if not totals:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     chosen = {}
     for t in totals:
-        sample = known.where(F.col("dim") == t["dim"]).select("x").withColumn("h", F.xxhash64("x")).orderBy("h", "x").limit(SAMPLE).collect()  # bounded
+        sample = known.where(F.col("dim") == t["dim"]).select("h", "x").orderBy("h", "x").limit(SAMPLE).collect()  # bounded
         pivots = min(MOST_PIVOTS, max(16, int(2 * t["n"] ** 0.5)))
         chosen[t["dim"]] = spread(unit(np.random.default_rng(0).permutation(np.array([r["x"] for r in sample], np.float64))), pivots)
-    posts = materialize(ordered(known, chosen, NAMED), "ann-posts")
-    queries = materialize(rows.where("query").join(known.select("cid", "dim", "x"), "x").select("cid", "dim", "id", "x", F.monotonically_increasing_id().alias("q")), "ann-queries")
+    posts = materialize(ordered(known.drop("h"), chosen, NAMED), "ann-posts")
+    queries = materialize(rows.where("query").join(known.select("cid", "dim", "h", "x"), ["h", "x"]).select("cid", "dim", "id", "x", F.monotonically_increasing_id().alias("q")), "ann-queries")
     probes = files_to_read(posts, known, queries, chosen, k, recall)
     posted = posts.withColumn("pivot", F.explode(F.slice("perm", 1, POSTED)))
     # a row for each pivot
