@@ -14,7 +14,7 @@ are read as have ``RECALL`` of these. Vectors that lie in clusters need few; vec
 without any structure, as if drawn at random, need a good part of all.
 
 Pivots are chosen far from one another from a bounded sample (``SAMPLE`` distinct
-vectors with the smallest hash), twice as many as the square root of the number
+vectors with the smallest hash, ``SAMPLE_CELLS`` components), twice as many as the square root of the number
 of vectors and ``MOST_PIVOTS`` at most. Every vector is indexed. Equal vectors are
 one entry, with as many of their ids as a query may want. A file
 that many vectors name is cut, by a hash, into parts of ``PART`` entries or so, and the
@@ -33,7 +33,7 @@ from pyspark.sql.types import ArrayType, ShortType, StructField, StructType
 
 from prosegauge.llm.common import batches, materialize, release, small_batches
 
-SAMPLE = 8192
+SAMPLE, SAMPLE_CELLS = 8192, 4_000_000
 MOST_PIVOTS = 1024
 POSTED = 4
 NAMED = 64
@@ -214,7 +214,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     chosen = {}
     for t in totals:
-        sample = known.where(F.col("dim") == t["dim"]).select("h", "x").orderBy("h", "x").limit(SAMPLE).collect()  # bounded
+        sample = known.where(F.col("dim") == t["dim"]).select("h", "x").orderBy("h", "x").limit(min(SAMPLE, max(1, SAMPLE_CELLS // t["dim"]))).collect()  # bounded
         pivots = min(MOST_PIVOTS, max(16, int(2 * t["n"] ** 0.5)))
         chosen[t["dim"]] = spread(unit(np.random.default_rng(0).permutation(np.array([r["x"] for r in sample], np.float64))), pivots)
     posts = materialize(ordered(known.drop("h"), chosen, NAMED), "ann-posts")
