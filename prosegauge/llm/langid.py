@@ -31,7 +31,7 @@ SLOTS = 64
 SEED = 20_011
 UNKNOWN = "und"
 #: What is worked on at once: code points of texts, counts of texts by trigrams, vectors of trigrams.
-CHARS, CELLS, VECTORS = 8_000_000, 8_000_000, 16_384
+CHARS, CELLS, VECTORS = 1_500_000, 4_000_000, 16_384
 
 
 @cache
