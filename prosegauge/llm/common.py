@@ -58,6 +58,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def row_order(docs: DataFrame) -> tuple[Column, Column]:
+    """Part (a string) and number in it of each row, by which rows sort in the order of ``docs``.
+
+    A table of Parquet files, of which columns or rows may have been taken, has the
+    order it was written in: by the files' numbers, then by the rows in them. Spark
+    deals files to tasks by size, so tasks don't tell that order. Other frames have
+    that of their partitions.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() == "LogicalRelation" and plan.relation().toString() == "parquet":
+        file = docs.metadataColumn("_metadata")
+        number = F.lpad(F.regexp_extract(file["file_name"], r"part-(\d+)", 1), 20, "0")
+        return F.concat(number, file["file_path"]), file["row_index"]
+    row = F.monotonically_increasing_id()  # 33 bits for the row, the partition above them
+    return F.lpad(F.shiftright(row, 33).cast("string"), 20, "0"), row.bitwiseAND(F.lit((1 << 33) - 1))
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 

@@ -20,6 +20,9 @@ counts before it) and find their sequence by their rank.
 
 The result is best-fit decreasing but for gaps in another range of the same band,
 which a document sees after those of its own range.
+
+Where the documents' order counts (``pack_in_order``), windows of it are packed each by
+one sweep, as lengths alone would deal the documents of all windows together.
 """
 
 from __future__ import annotations
@@ -27,21 +30,26 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosegauge.llm import tokens
-from prosegauge.llm.common import batches, columns, materialize, small_batches
+from prosegauge.llm.common import batches, columns, materialize, row_order, small_batches
 
 CAPACITY = 1024
 END_ID = 2
 #: Ranges of size that a band of lengths is cut into.
 RANGES = 4
+#: Documents that are packed together where their order counts.
+WINDOW = 2048
+#: More than a document has pieces.
+PIECES = 1 << 22
 #: Kinds of rows of the table that a superstep reads and writes.
 WAITS, GAP, PLACED = 0, 1, 2
 STATE = "kind int, size long, first long, count long, sequence long, each long, offset long"
@@ -153,26 +161,31 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, head), *((at, capacity) for at in range(head, n, capacity))]
 
 
-def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32)`` for each piece of each row's ids and one end id."""
+def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, order: tuple[Column, Column] | None = None) -> DataFrame:
+    """``(doc_id, piece, start, length, ids_crc32)`` for each piece of each row's ids and one end id.
+
+    With ``order`` its two columns follow, as ``part`` and ``row``.
+    """
     small_batches(docs.sparkSession)
     path = path or tokens.default_path()
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    schema = pa.schema(fields)
+    beside = ["part", "row"] if order else []
+    schema = pa.schema(fields + [("part", pa.string()), ("row", pa.int64())][: len(beside)])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path).ids
 
         def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-            for i, t in zip(*columns(batch, "doc_id", "text"), strict=True):
+            for i, t, *at_row in zip(*columns(batch, "doc_id", "text", *beside), strict=True):
                 ids = np.append(encode(t), np.uint32(end_id)).astype("<u4")
                 for k, (at, n) in enumerate(cut(len(ids), capacity)):
-                    yield i, k, at, n, zlib.crc32(ids[at : at + n].tobytes())
+                    yield i, k, at, n, zlib.crc32(ids[at : at + n].tobytes()), *at_row
 
         for batch in it:
             yield from batches(rows(batch), schema)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    read = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *(c.alias(n) for c, n in zip(order or (), beside, strict=True)))
+    return read.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", part string, row long" * bool(order))
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -213,3 +226,52 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
     Other columns of ``docs`` are neither read nor returned.
     """
     return place(materialize(token_pieces(docs, key, text, path, capacity), "pieces"), capacity)
+
+
+def share(lengths: np.ndarray, numbers: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best-fit decreasing in one sweep: each piece's sequence, named by the number of the piece that opened it, and offset.
+
+    Of pieces of one length those with smaller numbers come first.
+    """
+    line = np.lexsort((numbers, lengths))
+    sizes, starts, counts = (x.tolist() for x in np.unique(lengths[line], return_index=True, return_counts=True))
+    start = dict(zip(sizes, starts, strict=True))
+    sequence, offset = np.empty(len(line), np.int64), np.empty(len(line), np.int64)
+    for r in sweep([Run(WAITS, n, 0, k) for n, k in zip(sizes, counts, strict=True)], capacity, 0):
+        if r.kind == PLACED:
+            at, k = start[r.size] + r.first, np.arange(r.count)
+            rows = line[at : at + r.count]
+            sequence[rows] = r.sequence + k // r.each
+            offset[rows] = r.offset + k % r.each * r.size
+    opens = np.flatnonzero(offset == 0)
+    names = np.empty(len(opens), np.int64)
+    names[sequence[opens]] = numbers[opens]
+    return names[sequence], offset
+
+
+def pack_in_order(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, window: int = WINDOW) -> DataFrame:
+    """As ``pack``, in the order of the rows of ``docs`` (``row_order``); sequences are in rising order of ``sequence_id``.
+
+    Documents share sequences with others of their window, ``window`` rows that follow
+    one another, and no sequence comes before one of an earlier window. Within a
+    window sequences follow the documents that open them. Every window may leave
+    sequences short, so there are a few more of them than ``pack`` makes.
+    """
+    pieces = materialize(token_pieces(docs, key, text, path, capacity, order=row_order(docs)), "pieces")
+    spark = docs.sparkSession
+    ends = sorted((r["part"], r["n"]) for r in pieces.groupBy("part").agg((F.max("row") + 1).alias("n")).collect())  # a row for each file
+    firsts = zip((part for part, _ in ends), accumulate((n for _, n in ends), initial=0), strict=False)
+    place = F.col("first") + F.col("row")
+    made = [c for c in pieces.columns if c not in ("part", "row")]
+    numbered = pieces.join(F.broadcast(spark.createDataFrame(list(firsts), "part string, first long")), "part").select(
+        *made, F.floor(place / window).cast("long").alias("window"), (place * PIECES + F.col("piece")).alias("number")
+    )
+
+    def one(rows: pa.Table) -> pa.Table:
+        found = share(rows["length"].to_numpy(), rows["number"].to_numpy(), capacity)
+        return rows.select(made).append_column("sequence_id", pa.array(found[0])).append_column("offset", pa.array(found[1]))
+
+    # a document has one piece that isn't full, so a group has as many rows as a window
+    shared = numbered.where(F.col("length") < capacity).groupBy("window").applyInArrow(one, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    full = numbered.where(F.col("length") == capacity).select(*made, F.col("number").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return full.unionByName(shared).repartitionByRange("sequence_id").sortWithinPartitions("sequence_id", "offset")

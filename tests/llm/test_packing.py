@@ -130,3 +130,43 @@ def test_pieces_and_places(spark):
     lengths = [w[3] for w in want]
     assert sum(used) == sum(lengths) and len(used) <= (sum(lengths) + sum(plain_gaps(lengths, 16))) // 16 + 1
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_windows_of_the_order_are_packed_apart(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(k, " ".join(["word"] * r.randint(0, 40))) for k in range(400)] + [(7, None), (None, "null key"), (5, "a b c " * 30), (5, "a b c " * 30)]
+    r.shuffle(rows)
+    at = 0
+    for k, n in enumerate((3, 0, 40, 61, 300)):  # the largest file is the last, and Spark reads it first
+        file = spark.createDataFrame(rows[at : at + n], "doc_id long, text string").coalesce(1)
+        file.write.parquet(str(tmp_path / str(k)))
+        for part in (tmp_path / str(k)).glob("part-*"):
+            part.rename(tmp_path / f"part-{k:05d}-{9 - k}.parquet")
+        at += n
+    assert at == len(rows)
+    docs = spark.read.parquet(str(tmp_path / "part-*"))
+    assert [tuple(x) for x in docs.collect()] != rows
+    got = packing.pack_in_order(docs, capacity=16, window=10).collect()
+    pieces = lambda found: sorted(str(tuple(x)[:5]) for x in found)
+    assert pieces(got) == pieces(packing.pack(docs, capacity=16).collect())
+    assert [(x["sequence_id"], x["offset"]) for x in got] == sorted((x["sequence_id"], x["offset"]) for x in got)
+    found = {}
+    for x in got:
+        assert x["offset"] == sum(y["length"] for y in found.get(x["sequence_id"], []))
+        found.setdefault(x["sequence_id"], []).append(x)
+    assert max(x["offset"] + x["length"] for x in got) <= 16
+    sequences, encode = iter(found.values()), tokens.encoder(tokens.default_path()).ids
+    for first in range(0, len(rows), 10):
+        window = rows[first : first + 10]
+        lengths = [n for _, t in window for _, n in packing.cut(len(encode(t)) + 1, 16)]
+        mine = [next(sequences) for _ in range((sum(lengths) + sum(plain_gaps(lengths, 16))) // 16)]
+        assert sorted(x["length"] for s in mine for x in s) == sorted(lengths)
+        assert sorted(str(x["doc_id"]) for s in mine for x in s if x["piece"] == 0) == sorted(str(i) for i, _ in window)
+    assert next(sequences, None) is None
+    assert packing.pack_in_order(docs.limit(0)).count() == 0
+
+
+def test_the_order_of_frames_that_are_not_files(spark):
+    rows = [(k, "word " * (k % 7)) for k in range(60, 0, -1)]
+    got = packing.pack_in_order(spark.createDataFrame(rows, "doc_id long, text string"), capacity=8, window=1).collect()
+    assert [x["doc_id"] for x in got] == [i for i, _ in rows]

@@ -6,7 +6,8 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from prosegauge.llm import tokens
+from prosegauge.llm import packing, tokens
+from prosegauge.llm.common import materialize
 from prosegauge.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +80,21 @@ def test_pipeline_on_odd_rows(spark):
             assert out.columns == docs.columns
             out.collect()
         corpus_pipeline.STAGES[-1][1](spark, table, SF).collect()
+
+
+def test_sequences_of_the_pipeline_follow_the_mix(spark):
+    # all texts of the small source are of one length, so that lengths alone would spread it over all sequences
+    rows = [(k, "few words" if k % 10 == 0 else "word " * (k % 97 + 5), "b" if k % 10 == 0 else "a") for k in range(3 * packing.WINDOW)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    stages = dict(corpus_pipeline.STAGES)
+    mixed = stages["mixing_sources"](spark, docs, SF)
+    order = [x["doc_id"] for x in mixed.collect()]
+    packed = stages["best_fit_packing"](spark, materialize(mixed, "mixed"), SF).orderBy("sequence_id", "offset").collect()
+    got = [x["doc_id"] for x in packed]
+    assert len(got) == len(rows)
+    for first in range(0, len(rows), packing.WINDOW):
+        assert set(got[first : first + packing.WINDOW]) == set(order[first : first + packing.WINDOW])
+    small = [sum(i % 10 == 0 for i in got[first : first + packing.WINDOW]) for first in range(0, len(rows), packing.WINDOW)]
+    assert small[0] > 1.5 * packing.WINDOW / 10 and small[-1] == 0
+    unmixed = stages["best_fit_packing"](spark, docs, SF).orderBy("sequence_id", "offset").collect()
+    assert [x["doc_id"] for x in unmixed] != got
